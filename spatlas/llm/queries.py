@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spatlas.llm import ngram_join as join
-from spatlas.llm import quality_rules, warc, winnowing
+from spatlas.llm import license_scan, mixing, quality_rules, token_counts, warc, winnowing
 from spatlas.llm.common import shared_path
+from spatlas.llm.line_templates import line_dedup
 from spatlas.llm.pii import find_pii
 from spatlas.llm.suffix_dedup import suffix_dedup
 
@@ -25,6 +27,12 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_archives(spark, path, with_payload=False))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=5, depth=3, constant_share=0.7)
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return found.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -35,6 +43,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.verdict(quality_rules.ledger(table(spark, sf_dir, "documents")), policy="v2")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,6 +61,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), share=0.5, power=0.5, seed=7, keep=["source", "lang"])
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"), confidence=0.8, least_seeds=3, rounds=3)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
@@ -55,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_salvage": warc.ORACLE, "op4_ngram_join": join.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op8_winnowing": winnowing.ORACLE}
+    return {"op1_warc_salvage": warc.ORACLE, "op4_ngram_join": join.ORACLE, "op6_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op8_winnowing": winnowing.ORACLE}
