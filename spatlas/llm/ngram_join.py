@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatlas.llm.common import U64, Packer, components, gram_hashes, mix, n_buckets, signed, stored, text_chunks, unpack, words_of
+from spatlas.llm.common import U64, Packer, components, gram_hashes, mix, n_buckets, row_uid, signed, stored, text_chunks, unpack, words_of
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, *range(9, 14)]] = False
@@ -31,6 +31,7 @@ NEED_BITS = 25
 ALONE = 320
 #: Pairs that one verifying task compares with one set.
 SALT_EVERY = 1000
+SCANNED = ["doc_id", "uid", "node", "n", "bits", "part", "blob"]
 TOKEN = np.dtype([("sig", "<u8"), ("node", "<u8"), ("n", "<u4")])
 
 
@@ -56,6 +57,24 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(total ^ np.bitwise_xor.reduce(mix(tokens + U64(0x51ED2701))))[0]) or 1
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """For each of 2 to 4 cells a token, whether an odd number of tokens falls there. Cells in which two sets differ hold tokens that
+    only one of them has, so their number never exceeds that of such tokens."""
+    cells = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens & U64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_cells(a: bytes, b: bytes) -> int:
+    """Of the finer table, cells a power of two apart are joined first."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def least_shared(n, percent: int):
     """Tokens that a set of n shares at least with any set of the wanted similarity."""
     return (percent * n + 99) // 100
@@ -65,26 +84,27 @@ def _nodes(width: int):
     def scan(batches):
         counts, pending, size, seen = np.zeros(1 << CELL_BITS, np.int64), [], 0, set()
         for batch in batches:
-            nodes, sizes = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            nodes, sizes, bits = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
             for row, tokens in shingle_sets(batch.column("text"), width):
                 node = node_of(tokens)
                 nodes[row], sizes[row] = np.uint64(node).astype(np.int64), len(tokens)
                 if node not in seen:  # of copies within a task, one counts
                     seen.add(node)
+                    bits[row] = parity_bits(tokens)
                     pending.append((tokens >> U64(64 - CELL_BITS)).astype(np.int32))
                     size += len(tokens)
                 if size > 4 << 20:
                     counts += np.bincount(np.concatenate(pending), minlength=1 << CELL_BITS)
                     pending, size = [], 0
             none = pa.nulls(len(batch), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array(sizes), none, pa.nulls(len(batch), pa.binary())], names=["doc_id", "node", "n", "part", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(nodes), pa.array(sizes), pa.array(bits, pa.binary()), none, pa.nulls(len(batch), pa.binary())], names=SCANNED)
         if pending:
             counts += np.bincount(np.concatenate(pending), minlength=1 << CELL_BITS)
         if counts.any():
             parts = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, 1 << CHUNK_BITS)
             none = pa.nulls(len(parts), pa.int64())
             blobs = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts]
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "node", "n", "part", "blob"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(blobs, pa.binary())], names=SCANNED)
 
     return scan
 
@@ -278,6 +298,24 @@ def _verified(percent: int):
     return verified
 
 
+def _alike(percent: int):
+    def alike(batches):
+        """Pairs whose cells don't already show too many tokens that only one set has."""
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            # of n + m tokens, those in one set only are at most (100 - percent) / (100 + percent)
+            keep = pa.array([(100 + percent) * differing_cells(a, b) <= (100 - percent) * (k + j) for a, b, k, j in zip(x, y, n, m, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return alike
+
+
+def possible(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parity bits don't rule out; only bits are moved, not sets."""
+    first, second = (cells.select(F.col("node").alias(k), F.col("bits").alias(v), F.col("n").alias(w)) for k, v, w in (("a", "x", "n"), ("b", "y", "m")))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_alike(percent), "a long, b long")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets have the similarity. A node with many partners is dealt over several tasks."""
     spark = docs.sparkSession
@@ -291,33 +329,36 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
 
 
 def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, node.
+    """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, uid, component.
 
     component_id is the smallest doc_id that links reach, itself included; a link holds two texts of which
     100 * shared >= percent * all shingles. Texts without words (null, empty, white space) link with nothing. Rows with equal
     sets are one node whatever their ids, so repeated rows share a component. A null doc_id is never a component's smallest unless
-    the component has no other; then component_id is null. Other columns aren't read. An empty table gives an empty result."""
+    the component has no other; then component_id is null. ``component`` names the component itself, 0 for texts without words.
+    Other columns aren't read. An empty table gives an empty result."""
     spark: SparkSession = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-    scanned = stored(docs.mapInArrow(_nodes(width), "doc_id long, node long, n long, part int, blob binary"), "join-nodes")
-    nodes = scanned.where("part is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
+    docs = documents.select(F.col("doc_id").cast("long"), "text", row_uid().alias("uid"))
+    scanned = stored(docs.mapInArrow(_nodes(width), "doc_id long, uid long, node long, n long, bits binary, part int, blob binary"), "join-nodes")
+    nodes = scanned.where("part is null").select("doc_id", "uid", "node", F.col("n").alias("n_shingles"))
+    parity = scanned.where("bits IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
     cells = spark.sparkContext.broadcast(_classes(scanned.where("part is not null").select("part", "blob")))
     index = docs.select("text").mapInArrow(_index(width, percent, cells, n_buckets(spark)), "bucket long, blob binary")
     found = stored(index.groupBy("bucket").applyInArrow(_candidates(percent), CANDIDATES), "join-candidates")
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), "join-pairs")
-    links = stored(verify(docs, pairs, width, percent), "join-links")
+    likely = stored(possible(pairs, parity, percent), "join-likely")
+    links = stored(verify(docs, likely, width, percent), "join-links")
     labels = components(links, "join-first")
     groups = found.where("grp is not null").select("grp", "node", "n").distinct()
     labelled = groups.join(labels, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("comp"))
     split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
     across = labelled.join(split, "grp").groupBy("grp").applyInArrow(_across(percent), "a long, b long").distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(across.join(tried, ["a", "b"], "left_anti"), "join-rest")
+    rest = stored(possible(across.join(tried, ["a", "b"], "left_anti"), parity, percent), "join-rest")
     labels = components(links.union(verify(docs, rest, width, percent)), "join-all")
-    own = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
+    own = nodes.join(labels, "node", "left").select("doc_id", "uid", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = own.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id", "node")
-    return joined.union(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node"))
+    joined = own.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id", "uid", "component")
+    return joined.union(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "uid", "component"))
 
 
 ORACLE = """
