@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,16 +209,77 @@ def _candidates(percent: int):
     return candidates
 
 
+def _bit_rows(bits: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits of rows that all have ``size`` bytes, as words."""
+    _, offsets, data = bits.buffers()
+    at = np.frombuffer(offsets, np.int32)[bits.offset :][rows]
+    return np.frombuffer(data, np.uint8)[at[:, None] + np.arange(size)].view(U64)
+
+
+def _halved(words: np.ndarray) -> np.ndarray:
+    return words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+
+
+def _group_pairs(node, n, comp, bits, sizes, rows, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of one group's rows in different components that neither sizes nor parity bits rule out.
+
+    Rows of the group's largest component are only compared with the others. Sets that may be alike have tables of one size
+    or sizes a factor of 2 apart, of which the finer is joined to the coarser."""
+    names, which, counts = np.unique(comp[rows], return_inverse=True, return_counts=True)
+    few = rows[which != counts.argmax()]
+    for size in np.unique(sizes[few]):
+        own = few[sizes[few] == size]
+        words = _bit_rows(bits, own, int(size))
+        for scale in (0.5, 1, 2):
+            every = rows[sizes[rows] == size * scale]
+            if not len(every) or size * scale < 8:
+                continue
+            other, mine = _bit_rows(bits, every, int(size * scale)), words
+            if scale == 2:
+                other = _halved(other)
+            elif scale == 0.5:
+                mine = _halved(words)
+            step = max(1, (4 << 20) // max(1, other.nbytes))
+            for i in range(0, len(own), step):
+                left = own[i : i + step]
+                a, b = n[left][:, None], n[every][None, :]
+                keep = (comp[left][:, None] != comp[every][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                x, y = np.nonzero(keep)
+                for k in range(0, len(x), 1 << 16):
+                    p, q = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    differ = np.bitwise_count(mine[i + p] ^ other[q]).sum(1, dtype=np.int64)
+                    near = (100 + percent) * differ <= (100 - percent) * (n[left[p]] + n[every[q]])
+                    if near.any():
+                        yield np.stack([node[left[p[near]]], node[every[q[near]]]], 1)
+
+
 def _across(percent: int):
-    def across(table: pa.Table) -> pa.Table:
-        """Pairs of a group's nodes that are in different components and whose sizes allow the similarity."""
-        node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        order = np.argsort(n, kind="stable")
-        node, n, comp = node[order], n[order], comp[order]
-        last = np.searchsorted(n * percent, n * 100, "right")  # n[j] * percent <= n[i] * 100
-        parts = [np.stack([np.full(int((d := comp[i + 1 : last[i]] != comp[i]).sum()), node[i]), node[i + 1 : last[i]][d]], 1) for i in range(len(node))]
-        pairs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs.min(1), "b": pairs.max(1)}) if len(pairs) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    def across(batches):
+        """Of rows sorted by group: pairs of a group's nodes in different components that may have the similarity."""
+        held = None
+
+        def pairs_of(table: pa.Table) -> pa.RecordBatch:
+            grp, node, n, comp = (table.column(c).to_numpy() for c in ("grp", "node", "n", "comp"))
+            bits = table.column("bits").combine_chunks()
+            bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
+            sizes = pa.compute.binary_length(bits).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1), len(grp)]
+            found = [p for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for p in _group_pairs(node, n, comp, bits, sizes, np.arange(a, b), percent)]
+            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            grp = table.column("grp").to_numpy()
+            last = int(np.searchsorted(grp, grp[-1]))  # the last group may go on in the next batch
+            if last:
+                yield pairs_of(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None:
+            yield pairs_of(held)
 
     return across
 
@@ -351,9 +413,10 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = found.where("grp is not null").select("grp", "node", "n").distinct()
     labelled = groups.join(labels, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("comp"))
     split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-    across = labelled.join(split, "grp").groupBy("grp").applyInArrow(_across(percent), "a long, b long").distinct()
+    mixed = labelled.join(split, "grp").join(parity.select("node", "bits"), "node").select("grp", "node", "n", "comp", "bits")
+    across = mixed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(percent), "a long, b long").distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(possible(across.join(tried, ["a", "b"], "left_anti"), parity, percent), "join-rest")
+    rest = stored(across.join(tried, ["a", "b"], "left_anti"), "join-rest")
     labels = components(links.union(verify(docs, rest, width, percent)), "join-all")
     own = nodes.join(labels, "node", "left").select("doc_id", "uid", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
