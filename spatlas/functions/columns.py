@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Quadrant codes and their labels.
 LABELS = {0: "not valid", 1: "HH", 2: "LH", 3: "LL", 4: "HL", 5: "island"}
@@ -49,7 +50,10 @@ def log1p_scaled(value: Column, scale: float = 1000.0) -> Column:
     return F.log1p(value * scale)
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """2 * P(Z > |z|); Spark has no complementary error function. It runs on aggregated rows only."""
+def _tails(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x is not None and x == x else float("nan"))
+
+
+def two_sided_p(z: Column | str) -> Column:
+    """2 * P(Z > |z|); Spark has no complementary error function. It runs on aggregated rows only."""
+    return F.pandas_udf(_tails, T.DoubleType())(z)
