@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from spatlas.llm.common import stored
 
 DIMENSIONS = ["source", "lang", "topic"]
-WORDS = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
 #: Topics where a table names none: the first word's hash, one of so many.
 TOPICS = 8
 
 
+def word_count(text: str = "text") -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+
+
 def lexical_topic(text: Column) -> Column:
     return F.concat(F.lit("topic"), F.expr("pmod(xxhash64(substring_index(lower(trim(coalesce(text, ''))), ' ', 1)), {0})".format(TOPICS)).cast("string"))
 
@@ -35,6 +38,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
 
     A target is (category, target). A category without target gets weight 0; targets of categories without tokens can't be
     met and are left out, the others scaled to sum to 1. If the rounds end first, the last dimension's marginal holds exactly."""
+    own = cells.columns
     for d, target in targets.items():
         there = cells.where("tokens > 0").select(d).distinct().join(target, d)
         share = there.crossJoin(there.agg(F.sum("target").alias("all"))).select(d, (F.col("target") / F.col("all")).alias(f"target_{d}"))
@@ -51,7 +55,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         worst = reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    return raked.select(*targets, "tokens", "weight")
+    return raked.select(*own, "weight")
 
 
 def mix(documents: DataFrame, share: float = 0.5, targets: dict[str, DataFrame] | None = None, power: float = 0.5, seed: int = 7, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -63,7 +67,7 @@ def mix(documents: DataFrame, share: float = 0.5, targets: dict[str, DataFrame]
     named = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("source", "lang")]
     carried = ["doc_id", *[c for c in keep or [] if c != "doc_id"]]
     roll = (F.expr(f"xxhash64(doc_id, coalesce(text, ''), {seed}L) & {(1 << 53) - 1}L") / float(1 << 53)).alias("_u")
-    rows = documents.select(*carried, *named, (topic if topic is not None else lexical_topic(F.col("text"))).alias("_topic"), WORDS.alias("_tokens"), roll)
+    rows = documents.select(*carried, *named, (topic if topic is not None else lexical_topic(F.col("text"))).alias("_topic"), word_count().alias("_tokens"), roll)
     sums = rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     cells = stored(sums.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "tokens"), "cells")
     raked = rake(cells, targets or {d: tempered(cells, d, power) for d in DIMENSIONS})

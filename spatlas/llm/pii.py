@@ -146,6 +146,7 @@ def find_pii(documents: DataFrame, confidence: float = 0.8, least_seeds: int = 3
     docs = documents.select(F.col("doc_id").cast("long"), "text", row_uid().alias("uid"))
     scanned = stored(docs.mapInArrow(_scan, SCANNED), "pii-scan")
     found = scanned.where("size(found) > 0").select("doc_id", "uid", F.explode("found").alias("f")).select("doc_id", "uid", "f.*")
+    found = found.where("pattern <> '^ ^'")  # no words before it: nothing lexical
     sure = score_patterns(found, rounds, least_seeds).where(F.col("confidence") >= confidence).select("kind", "pattern")
     span = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     added = found.where("NOT seed").join(sure, ["kind", "pattern"]).groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(F.collect_set(span).alias("added"))
