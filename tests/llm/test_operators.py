@@ -1,0 +1,402 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and other columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spatlas.llm import license_scan, mixing, ngram_join, pii, quality_rules, suffix_dedup, token_counts, warc, winnowing
+from spatlas.llm.common import components
+from spatlas.llm.line_templates import line_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, words string, node int, n int, marks string"
+
+
+def corpus(seed=3, n=90):
+    """Copies, near copies, shared passages and odd texts; ids may repeat or be missing."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(400)] + ["é", "ÉTÉ", "日本", "x1"]
+    passage = " ".join(r.choice(vocabulary) for _ in range(40))
+    base = [[r.choice(vocabulary) for _ in range(r.randint(30, 160))] for _ in range(8)]
+    rows = []
+    for i in range(n):
+        kind = i % 9
+        words = list(base[r.randrange(8)]) if kind < 5 else [r.choice(vocabulary) for _ in range(r.randint(0, 120))]
+        if kind in (1, 2):
+            for _ in range(r.randint(1, 3)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+        if kind == 6:
+            words = words[:40] + passage.split() + words[40:]
+        text = "".join(w + r.choice([" ", " ", " ", "\n", "\t "]) for w in words)
+        rows.append((i, [text, None, "", "   \n ", "one two three"][kind % 5] if kind == 8 and i % 2 else text))
+    rows += [(5, rows[5][1]), (6, "another text of the same id " * 8), (None, rows[3][1]), (None, None), (n, "word " * 3000), (n + 1, "z" * 5000)]
+    return rows
+
+
+def frame(spark, rows, partitions=3):
+    wide = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), "u", "w", 1, 2, "m") for i, t in rows]
+    return spark.createDataFrame(wide, SCHEMA).repartition(partitions)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# ---------------------------------------------------------------- 1 WARC
+PAGES = [(1, "http://a/x y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u\r\nX: y", "WARC/1.1\r\nno record"), (6, "u", "x" * 300_000), (None, "u", "<p>é</p>"), (None, "u", "alone"), (2, None, "<p>é</p>"), (7, "u", "<p>é</p>")]
+
+
+def write(spark, tmp_path, pages, **options):
+    path = str(tmp_path / "warc")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), path, **options)
+    return path
+
+
+def test_warc_round_trip(spark, tmp_path):
+    got = rows_of(warc.page_records(warc.read_archives(spark, write(spark, tmp_path, PAGES))))
+    largest = defaultdict(lambda: None)
+    for i, _, h in PAGES:
+        if i is not None:
+            largest[h or ""] = max(i, largest[h or ""] or i)
+    want = []
+    for i, _, h in PAGES:
+        data, m = (h or "").encode(), largest[h or ""]
+        again = m is not None and i != m
+        want.append((i, len(data), warc._sha1(data), "revisit" if again else "response", m if again else None))
+    assert got == sorted(want, key=repr)
+
+
+def test_warc_small_payloads_and_empty_table(spark, tmp_path):
+    got = warc.page_records(warc.read_archives(spark, write(spark, tmp_path, PAGES, min_revisit_bytes=9)))
+    assert {r.record_type for r in got.where("payload_bytes < 9").collect()} == {"response"}
+    assert rows_of(warc.read_archives(spark, write(spark, tmp_path / "none", []))) == []
+
+
+def test_warc_salvage():
+    records = [warc.record(i, "u", bytes([65 + i]) * 50, warc._sha1(bytes([65 + i]) * 50)) for i in range(5)]
+    members = [warc.member(r) for r in records]
+    bad = bytearray(members[1])
+    bad[len(bad) // 2] ^= 0xFF
+    data = members[0] + bytes(bad) + b"junk" + records[2] + records[3][:-20] + members[4][:30] + warc.EMPTY_MEMBER + members[4] + b"tail"
+    rows = list(warc.salvage(data))
+    assert [r["record_id"] for r in rows if r["kind"] == "record"] == ["urn:page:0", "urn:page:2", "urn:page:4"]
+    gaps = [(r["offset"], r["length"]) for r in rows if r["kind"] == "gap"]
+    first = len(members[0])
+    assert gaps[0] == (first, len(bad) + 4) and gaps[-1] == (len(data) - 4, 4) and len(gaps) == 3
+    assert list(warc.salvage(b"")) == [] and [r["kind"] for r in warc.salvage(b"no archive")] == ["gap"]
+    assert not warc.parse_record(records[0].replace(b"AAAA", b"AAAB"))[0:1] == ({},)
+
+
+def test_warc_large_member_ends_with_zero():
+    data = b"".join(b.column(0)[0].as_py() for b in warc._members(iter([_pages_batch(17 << 20)])))
+    rows = list(warc.salvage(data + b"\0"))
+    assert [r["payload_bytes"] for r in rows] == [17 << 20]
+
+
+def _pages_batch(size):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["u"]), pa.array([b"a" * size]), pa.array([warc._sha1(b"a" * size)]), pa.array([None], pa.int64())], names=["page_id", "url", "payload", "digest", "refers_to"])
+
+
+# ---------------------------------------------------------------- 2 line templates
+def test_line_templates(spark):
+    r = random.Random(1)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(9))
+    docs = [(i, "\n".join([prose(), f"Posted on day {i} by the site team", prose(), f"shared with friend {'abcdefghijkl'[i]} on our site", prose(), ""])) for i in range(12)]
+    copies = [(100 + k, "\n".join(["copy one two three four", "copy five six seven eight"])) for k in range(9)]
+    found = line_dedup(frame(spark, [*docs, *copies, (200, None), (201, ""), (202, "Posted on day 9 by the site team"), (7, docs[7][1])]))
+    by_id = {x.doc_id: x for x in found.collect()}
+    assert all(by_id[i].n_dropped == 2 and "Posted" not in by_id[i].text and "friend" not in by_id[i].text for i in range(12))
+    assert by_id[3].text == "\n".join(x for k, x in enumerate(docs[3][1].split("\n")) if k not in (1, 3)) and by_id[3].n_lines == 6
+    assert all(by_id[i].n_dropped == 0 and by_id[i].text == dict(copies)[i] for i in dict(copies)), "copies keep their own lines"
+    assert by_id[200].text is None and by_id[200].n_lines == 0 and by_id[201].text == "" and by_id[202].text == ""
+    assert found.count() == 25 and set(SCHEMA.replace(",", "").split()[::2]) <= set(found.columns)
+    assert line_dedup(empty(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- 3 suffix arrays
+def brute_removed(rows, length):
+    out, order, seen = {}, sorted({(i is not None, i or 0, t or "") for i, t in rows}), {}
+    by_doc = defaultdict(list)
+    for known, i, t in order:
+        by_doc[(known, i)].append(t)
+    for key in sorted(by_doc):
+        for t in by_doc[key]:
+            data = t.encode()
+            for p in range(len(data) - length + 1):
+                w = data[p : p + length]
+                seen[w] = min(seen.get(w, (key, p)), (key, p))
+    for key, texts in by_doc.items():
+        for t in texts:
+            data = t.encode()
+            cover = np.zeros(len(data), bool)
+            for p in range(len(data) - length + 1):
+                if seen[data[p : p + length]] < (key, p):
+                    cover[p : p + length] = True
+            edges = np.diff(np.r_[0, cover.astype(int)])
+            rest = bytes(np.frombuffer(data, np.uint8)[~cover])
+            out[(key[1] if key[0] else None, t)] = (len(data), int(cover.sum()), int((edges == 1).sum()), hashlib.sha256(rest).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [512, 1])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    rows = [*corpus(), (300, "ab" * 200), (301, "ab" * 90 + "c" + "ab" * 90), (302, "x" * 99), (303, "x" * 99)]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH_HOT", 1 if hot == 1 else 4)
+    want = brute_removed(rows, 100)
+    got = rows_of(suffix_dedup.suffix_dedup(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == sorted(((i, *want[(i, t or "")]) for i, t in rows), key=repr)
+
+
+def test_suffix_dedup_long_text_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
+    monkeypatch.setattr("spatlas.llm.common.CHUNK", 500)
+    r = random.Random(5)
+    half = "".join(r.choice("abcd") for _ in range(2500))
+    rows = [(1, half + "!" + half), (2, half[700:1500])]
+    x = [a for s in suffix_dedup._segments(np.array([0, 5001]), 100) for a in [s]]
+    assert x[0][3] - x[0][2] == 599 and x[-1][3] == 5001
+    want = brute_removed(rows, 100)
+    got = rows_of(suffix_dedup.suffix_dedup(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == sorted(((i, *want[(i, t)]) for i, t in rows), key=repr)
+    assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
+
+
+def test_longest_previous_factors():
+    for text in (b"", b"a", b"banana", b"abababab", b"mississippi" * 3):
+        want = [max([0, *(next((m for m in range(len(text) - i) if text[i + m] != text[j + m]), len(text) - i) for j in range(i))]) for i in range(len(text))]
+        assert suffix_dedup.longest_previous_factors(text).tolist() == want
+
+
+# ---------------------------------------------------------------- 4 join
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)].append(doc)
+    return sorted(((d, len(sets[i]), min(least[find(i)], default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize("usual", [None, 0])
+def test_ngram_join(spark, monkeypatch, usual):
+    """Once as it is, and once with every token of a frequent class, so that combinations carry the join."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(300)}" for _ in range(60)]
+    near = [(400 + k, " ".join(w if r.random() > 0.03 else f"v{r.randrange(999)}" for w in base)) for k in range(25)]
+    rows = [*corpus(), *near, (500, "a b c d"), (501, "A b\tc d"), (502, "a b c"), (503, "a")]
+    if usual == 0:
+        monkeypatch.setattr(ngram_join, "_classes", lambda parts: np.full(1 << ngram_join.CELL_BITS, 1, np.uint8))
+        monkeypatch.setattr(ngram_join, "ALONE", 60)
+    got = rows_of(ngram_join.ngram_join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id"))
+    assert got == brute_components(rows)
+
+
+def test_ngram_join_empty(spark):
+    assert ngram_join.ngram_join(empty(spark)).count() == 0
+
+
+def test_parity_bits_bound_the_difference():
+    r = np.random.default_rng(1)
+    for n, m, shared in ((50, 60, 40), (300, 500, 200), (10, 10, 10)):
+        x = r.integers(0, 2**63, n + m - shared, dtype=np.int64).view(np.uint64)
+        a, b = x[:n], x[n - shared :]
+        assert ngram_join.differing_cells(ngram_join.parity_bits(a), ngram_join.parity_bits(b)) <= n + m - 2 * shared
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (50, 50)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100, 50: 50}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---------------------------------------------------------------- 5 token counts
+def test_token_counts(spark):
+    rows = corpus()
+    lengths = [len(token_counts.encoder(token_counts.TOKENIZER).encode_ordinary(t or "")) for _, t in rows]
+    sums = token_counts.suffix_sums(token_counts.length_histogram(frame(spark, rows)))
+    want = [(n, c, sum(x > n for x in lengths), sum(x for x in lengths if x > n), sum(min(x, n) for x in lengths)) for n, c in Counter(lengths).items()]
+    assert rows_of(sums) == sorted(want, key=repr)
+    for limit in (0, 1, 17, 100, 10**6):
+        assert token_counts.truncated_total(sums, limit).first()[0] == sum(min(x, limit) for x in lengths)
+    got = {r.share: r.n_tokens for r in token_counts.length_quantiles(sums, [0.1, 0.5, 1.0]).collect()}
+    ordered = sorted(lengths)
+    assert got == {s: ordered[int(np.ceil(s * len(ordered))) - 1] for s in (0.1, 0.5, 1.0)}
+    assert token_counts.suffix_sums(token_counts.length_histogram(empty(spark))).count() == 0
+
+
+# ---------------------------------------------------------------- 6 licences
+def test_license_scan(spark):
+    mit = dict(license_scan.KNOWN[:1])["MIT"]
+    changed = "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sub-license").replace('"AS IS"', "'as is'").upper().replace(". ", ".\n")
+    rows = [(1, mit), (2, changed), (3, mit + " and more"), (4, "text\nlicensed  under the APACHE Licence, version 2.0\nRELEASED UNDER THE MIT LICENSE.\nall rights reserved"), (5, None), (6, ""), (None, mit), (1, mit), (7, "!!!"), (8, "All rights reserved.")]
+    got = rows_of(license_scan.license_scan(frame(spark, rows)).drop("uid"))
+    mine = (1, "MIT", "MIT", 1)
+    want = [mine, mine, (2, "MIT", "", 0), (3, None, "", 0), (4, None, "Apache-2.0,MIT,all-rights-reserved", 3), (5, None, "", 0), (6, None, "", 0), (None, *mine[1:]), (7, None, "", 0), (8, "all-rights-reserved", "all-rights-reserved", 1)]
+    assert got == sorted(want, key=repr)
+    assert license_scan.license_scan(empty(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- 7 rules
+def measured(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines), sum("A" <= c <= "Z" for c in text)
+
+
+def test_quality_rules(spark):
+    rows = [*corpus(), (600, "A B C ### " * 30), (601, "line one\nline one\n \n\nline one\n"), (602, "ab " * 3), (603, "a b a b a b a b")]
+    entries = quality_rules.ledger(frame(spark, rows))
+    found = quality_rules.verdict(entries)
+    got = rows_of(found.select("doc_id", *quality_rules.MEASURES, "failed", "base_failed", "kept"))
+    want = []
+    for i, t in rows:
+        m = dict(zip(quality_rules.MEASURES, measured(t), strict=True))
+        bits = sum(1 << k for k, (_, rule) in enumerate(quality_rules.RULES) if eval(rule.replace(" OR ", " or "), {}, m))  # noqa: S307
+        want.append((i, *m.values(), bits, bits & 3 != 0, bits & quality_rules.POLICIES["v2"] == 0))
+    assert got == sorted(want, key=repr)
+    only = {r.rule: tuple(r)[1:] for r in quality_rules.ablation(entries).collect()}
+    for k, (name, _) in enumerate(quality_rules.RULES):
+        bits = [w[-3] & quality_rules.POLICIES["v2"] for w in want]
+        assert only[name] == (sum(b >> k & 1 for b in bits), sum(b == 1 << k for b in bits), sum(b & ~(1 << k) == 0 for b in bits))
+    assert quality_rules.verdict(quality_rules.ledger(empty(spark))).count() == 0
+
+
+# ---------------------------------------------------------------- 8 winnowing
+def words8(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_winnowing(spark):
+    rows = corpus()
+    texts = [t for _, t in rows if t and len(t.split()) > 30]
+    bench = [(k, " ".join(texts[k].split()[5 : 5 + size])) for k, size in enumerate((25, 10, 9, 3, 1, 14))]
+    bench += [(7, "nothing of the kind is in any of these texts at all, surely"), (8, None), (9, ""), (None, " ".join(texts[9].split()[:12])), (0, bench[0][1]), (10, "The quick\nbrown")]
+    rows = [*rows, (700, "say: THE QUICK, brown fox"), (701, "a" * 50 + " " + " ".join(bench[1][1].split()[:9]))]
+    windows = {(tuple(w[i : i + min(10, len(w))]), item) for item, t in bench for w in [words8(t)] if w for i in range(len(w) - min(10, len(w)) + 1)}
+    want = []
+    for i, t in rows:
+        w, hit, items = words8(t), set(), set()
+        for window, item in windows:
+            for p in range(len(w) - len(window) + 1):
+                if tuple(w[p : p + len(window)]) == window:
+                    hit |= set(range(p, p + len(window)))
+                    items |= {item} - {None}
+        names = sorted(map(str, items))
+        want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
+    items = spark.createDataFrame([(i, t, 1) for i, t in bench], "item_id long, text string, uid int")
+    assert rows_of(winnowing.winnow(frame(spark, rows), items).drop("uid")) == sorted(want, key=repr)
+    none = winnowing.winnow(frame(spark, rows), items.limit(0))
+    assert none.where("contaminated").count() == 0 and none.count() == len(rows) and winnowing.winnow(empty(spark), items).count() == 0
+
+
+def test_winnowing_keeps_a_print_in_each_window():
+    r = np.random.default_rng(2)
+    words = r.integers(1, 5, 300).astype(np.uint64)
+    at, _ = winnowing.fingerprints(words, 10, 5)
+    assert all(((at >= i) & (at + 5 <= i + 10)).any() for i in range(len(words) - 9))
+
+
+# ---------------------------------------------------------------- 9 mixing
+def test_mixing(spark):
+    rows = [(i, t) for i, t in corpus(n=400) if i is not None]
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") % 5 > 0, "big").when(F.col("doc_id") % 2 == 0, "small"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 > 2, "en").otherwise("de"))
+    target = spark.createDataFrame([("big", 0.5), ("small", 0.3), ("", 0.1), ("absent", 0.1)], "source string, target double")
+    lang = spark.createDataFrame([("en", 0.5), ("de", 0.5)], "lang string, target double")
+    found = mixing.mix(docs, share=0.5, targets={"source": target, "lang": lang}, keep=["source", "lang"]).toPandas()
+    assert len(found) == len(rows)
+    found["t"] = found.weight * found.n_tokens
+    total = found.n_tokens.sum()
+    assert abs(found.t.sum() - 0.5 * total) < 1e-3 * total
+    shares = found.fillna({"source": ""}).groupby("source").t.sum() / found.t.sum()
+    assert abs(shares["big"] - 0.5 / 0.9) < 1e-3 and abs(shares[""] - 0.1 / 0.9) < 1e-3
+    assert np.allclose(found.groupby("lang").t.sum() / found.t.sum(), 0.5, atol=1e-3)
+    assert ((found.n_copies - found.weight).abs() < 1).all() and abs((found.n_copies * found.n_tokens).sum() / found.t.sum() - 1) < 0.25
+    assert (found[found.n_tokens == 0].n_copies == 0).all()
+    again = mixing.mix(docs.repartition(7), share=0.5, targets={"source": target, "lang": lang}).toPandas()
+    assert Counter(zip(found.doc_id, found.n_copies, strict=True)) == Counter(zip(again.doc_id, again.n_copies, strict=True))
+    assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_raking_equals_numpy(spark):
+    r = np.random.default_rng(4)
+    table = r.integers(1, 100, (4, 3))
+    cells = spark.createDataFrame([(f"a{i}", f"b{j}", int(table[i, j])) for i in range(4) for j in range(3)], "a string, b string, tokens long")
+    ta, tb = np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.2, 0.3, 0.5])
+    got = mixing.rake(cells, {"a": spark.createDataFrame([(f"a{i}", float(t)) for i, t in enumerate(ta)], "a string, target double"), "b": spark.createDataFrame([(f"b{j}", float(t)) for j, t in enumerate(tb)], "b string, target double")}, 1e-9)
+    w = table.astype(float)
+    for _ in range(200):
+        w *= (ta * table.sum() / w.sum(1))[:, None]
+        w *= (tb * table.sum() / w.sum(0))[None, :]
+    for row in got.collect():
+        assert abs(row.weight - w[int(row.a[1]), int(row.b[1])]) < 1e-4
+
+
+# ---------------------------------------------------------------- 10 PII
+def brute_base(text):
+    text, spans = text or "", []
+    spans += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    spans += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    spans += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return spans
+
+
+TRICKY = [
+    "a@b.co_x@c.de", "a@@b.c d@e", "x@y..z q.w@r-s.t-u.v.", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1111 2024 4111111111111111",
+    "+1 (017) 555-7713 +12 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6 ++49 30 1234567.", "日本 é@b.co ok@b.co 5@6.7", "1" * 50 + ".2.3.4", "0.0.0.0.", "@a.b", "a.b@c.d@e.f", "+1 . 2 3 4 5 6 7 8 9 )",
+]
+
+
+def test_base_spans():
+    r = random.Random(6)
+    texts = TRICKY + ["".join(r.choice("aZ9.@+-() %_é1") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    for text in texts:
+        assert pii.base_spans(text) == brute_base(text), text
+    assert len(pii.base_spans("a" * 300_000 + "@" * 1000 + "1" * 300_000 + "." * 1000)) == 0
+
+
+def test_find_pii(spark):
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004"]
+    rows = [(k, f"please bill card no {c} today") for k, c in enumerate(cards)] + [(10, "please bill card no 4111111111111112 today"), (11, "order 4111111111111113 went out"), (12, None), (13, ""), (None, "mail me@x.org"), (None, "mail me@x.org"), *((20 + k, t) for k, t in enumerate(TRICKY))]
+    found = {(r.doc_id, k): r for k, r in enumerate(pii.find_pii(frame(spark, rows), confidence=0.75).collect())}
+    assert len(found) == len(rows)
+    by_id = {i: r for (i, _), r in found.items()}
+    for i, text in rows:
+        assert (by_id[i].n_email, by_id[i].n_ip, by_id[i].n_card, by_id[i].n_phone, by_id[i].base_sha256) == pii.base_row(text)
+    assert by_id[10].spans == "card:20:36" and by_id[10].n_added == 1 and by_id[11].spans == "" and by_id[12].spans == ""
+    assert all(set(",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(t)).split(",")) - {""} <= set(by_id[i].spans.split(",")) for i, t in rows)
+    assert pii.find_pii(empty(spark)).count() == 0
