@@ -7,6 +7,7 @@ those that a caller gives, by the same expressions; only a list of a driver's ow
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +48,31 @@ STEPS = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    out = F.lower(text)
-    for pattern, replacement in STEPS:
+def canonical(lowered: Column) -> Column:
+    """Of a text in lower case."""
+    (pattern, replacement), *rest = STEPS
+    marked = lowered.contains("copyright") | lowered.contains("(c)") | lowered.contains("©")
+    out = F.when(marked, F.regexp_replace(lowered, pattern, replacement)).otherwise(lowered)
+    for pattern, replacement in rest:
         out = F.replace(out, F.lit(pattern), F.lit(replacement)) if re.fullmatch(r"[\w&-]+", pattern) else F.regexp_replace(out, pattern, replacement)
     return F.trim(out)
 
 
+def anchors(known: list[tuple[str, str]]) -> list[str] | None:
+    """Words of which every text with a known canonical form has one, in lower case and whole; None if a form has no such word.
+
+    Words that a spelling step can make (or a part of which) are not taken, as the text may have them in another spelling."""
+    found = set()
+    for _, text in known:
+        form = canonical_text(text)
+        safe = [w for w in form.split() if not any(r.strip() and r.strip() in w for _, r in STEPS)]
+        if not safe:
+            return None
+        if not any(a in form.split() for a in found):
+            found.add(max(safe, key=lambda w: (len(w), w)))
+    return sorted(found)
+
+
 def canonical_text(text: str) -> str:
     """The same in Python, for tables of known texts and tests."""
     out = text.lower()
@@ -69,11 +88,15 @@ def license_scan(documents: DataFrame, known: list[tuple[str, str]] | None = Non
     A null or empty text matches nothing. Repeated rows get equal results. A text known under two names gets the first
     by name. Lines are cut at line feeds; other columns aren't read; an empty table gives an empty result."""
     spark = documents.sparkSession
-    texts = spark.createDataFrame(sorted(set(KNOWN if known is None else known)), "license string, known string")
-    digests = F.broadcast(texts.select("license", F.sha2(canonical(F.col("known")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license")))
+    known = sorted(set(KNOWN if known is None else known))
+    words = anchors(known)
+    possible = lambda x: F.lit(True) if words is None else reduce(Column.__or__, [x.contains(w) for w in words])
+    texts = spark.createDataFrame(known, "license string, known string")
+    digests = F.broadcast(texts.select("license", F.sha2(canonical(F.lower("known")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license")))
     docs = documents.select(F.col("doc_id").cast("long"), "text", row_uid().alias("uid"))
-    lines = F.transform(F.split("text", "\n"), lambda line: F.sha2(canonical(line), 256))
-    units = docs.where("length(text) > 0").select("doc_id", "uid", F.sha2(canonical(F.col("text")), 256).alias("whole"), F.posexplode(lines).alias("at", "line"))
+    lowered = docs.select("doc_id", "uid", F.lower("text").alias("low")).where((F.length("low") > 0) & possible(F.col("low")))
+    lines = F.transform(F.filter(F.split("low", "\n"), possible), lambda line: F.sha2(canonical(line), 256))
+    units = lowered.select("doc_id", "uid", F.sha2(canonical(F.col("low")), 256).alias("whole"), F.posexplode_outer(lines).alias("at", "line"))
     whole, line = digests.select(F.col("digest").alias("whole"), F.col("license").alias("text_license")), digests.withColumnRenamed("digest", "line")
     found = units.join(line, "line", "left").join(whole, "whole", "left").where("license IS NOT NULL OR text_license IS NOT NULL")
     by_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(
