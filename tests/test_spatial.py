@@ -273,6 +273,27 @@ def test_fdr(spark):
         fdr.adjust_pvalues(p, "none")
 
 
+def test_both_operators_follow_the_protocol(spark):
+    from spatlas.operators.base import SpatialOperator
+
+    matrix = weights.MatrixOperator(path_graph(spark), vector(spark).select("id"))
+    assert isinstance(matrix, SpatialOperator) and isinstance(RasterOperator(grid(spark, [[1.0, 2.0]]), rook()), SpatialOperator)
+    assert matrix.s0().first().s0 == 5 and matrix.islands().count() == 0 and matrix.apply(vector(spark)).where("id = 0").first().lag == 2.5
+
+
+def test_command_line(spark, tmp_path):
+    from spatlas.__main__ import main
+
+    rows = [(r * 4 + c, "t", r, c, r, c, float(c), -float(r)) for r in range(4) for c in range(4)]
+    g = spark.createDataFrame(rows, "cell_id long, tile_id string, row int, col int, grid_row int, grid_col int, lon double, lat double")
+    g.write.parquet(str(tmp_path / "g"))
+    g.select("cell_id", F.pow(F.col("cell_id") % 5, 2).alias("ntl")).write.parquet(str(tmp_path / "d"))
+    out = str(tmp_path / "out")
+    assert main(["audit", str(tmp_path / "g"), str(tmp_path / "d"), out + "/audit"]) == 0 and (tmp_path / "out/audit.md").exists()
+    assert main(["permute", str(tmp_path / "g"), str(tmp_path / "d"), out, "9"]) == 0 and "p_sim" in (tmp_path / "out/permutations.json").read_text()
+    assert main([]) == 1 and main(["other"]) == 1
+
+
 # ---------------------------------------------------------------- interpretation, audit, files
 def test_interpretation(spark, tmp_path):
     local = spark.createDataFrame([("HH", True), ("LL", False), ("island", True), ("island", False), ("LH", True)], "quadrant string, significant boolean")
