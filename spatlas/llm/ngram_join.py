@@ -8,7 +8,8 @@ sets about that size do both, so that no pair is lost.) Frequency classes come f
 size; collisions there change the order alike for every set, hence cost, never results.
 
 Nodes with a signature in common are candidates. As only connected components are asked for, a first round verifies each
-signature's nodes against one of them; a second verifies what is left between different components. Whole sets are compared.
+signature's nodes against one of them; a second verifies each node's likeliest partner in another component, and a third all
+pairs that are left between components. Whole sets are compared.
 """
 
 from __future__ import annotations
@@ -220,8 +221,16 @@ def _halved(words: np.ndarray) -> np.ndarray:
     return words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
 
 
-def _group_pairs(node, n, comp, bits, sizes, rows, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of one group's rows in different components that neither sizes nor parity bits rule out.
+def _nearest(pairs: np.ndarray, differ: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Of candidate pairs (x, y), each x's with the fewest differing cells for its size."""
+    order = np.lexsort((pairs[:, 1], differ / total, pairs[:, 0]))
+    pairs = pairs[order]
+    return pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]]
+
+
+def _group_pairs(node, n, comp, bits, sizes, rows, percent: int, nearest: bool) -> Iterator[np.ndarray]:
+    """Pairs of one group's rows in different components that neither sizes nor parity bits rule out; or of each row outside the
+    largest component, the nearest such.
 
     Rows of the group's largest component are only compared with the others. Sets that may be alike have tables of one size
     or sizes a factor of 2 apart, of which the finer is joined to the coarser."""
@@ -250,10 +259,12 @@ def _group_pairs(node, n, comp, bits, sizes, rows, percent: int) -> Iterator[np.
                     differ = np.bitwise_count(mine[i + p] ^ other[q]).sum(1, dtype=np.int64)
                     near = (100 + percent) * differ <= (100 - percent) * (n[left[p]] + n[every[q]])
                     if near.any():
-                        yield np.stack([node[left[p[near]]], node[every[q[near]]]], 1)
+                        p, q, differ = left[p[near]], every[q[near]], differ[near]
+                        pairs = np.stack([node[p], node[q]], 1)
+                        yield _nearest(pairs, differ, n[p] + n[q]) if nearest else pairs
 
 
-def _across(percent: int):
+def _across(percent: int, nearest: bool):
     def across(batches):
         """Of rows sorted by group: pairs of a group's nodes in different components that may have the similarity."""
         held = None
@@ -264,7 +275,7 @@ def _across(percent: int):
             bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
             sizes = pa.compute.binary_length(bits).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1), len(grp)]
-            found = [p for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for p in _group_pairs(node, n, comp, bits, sizes, np.arange(a, b), percent)]
+            found = [p for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for p in _group_pairs(node, n, comp, bits, sizes, np.arange(a, b), percent, nearest)]
             pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -409,15 +420,19 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), "join-pairs")
     likely = stored(possible(pairs, parity, percent), "join-likely")
     links = stored(verify(docs, likely, width, percent), "join-links")
-    labels = components(links, "join-first")
-    groups = found.where("grp is not null").select("grp", "node", "n").distinct()
-    labelled = groups.join(labels, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("comp"))
-    split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-    mixed = labelled.join(split, "grp").join(parity.select("node", "bits"), "node").select("grp", "node", "n", "comp", "bits")
-    across = mixed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(percent), "a long, b long").distinct()
+    groups = stored(found.where("grp is not null").select("grp", "node", "n").distinct(), "join-groups")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(across.join(tried, ["a", "b"], "left_anti"), "join-rest")
-    labels = components(links.union(verify(docs, rest, width, percent)), "join-all")
+    # at first only each node's nearest of another component: what is alike is then mostly joined, and few pairs are left for the last round
+    for nearest in (True, False):
+        labels = components(links, "join-components")
+        labelled = groups.join(labels, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("comp"))
+        split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
+        mixed = labelled.join(split, "grp").join(parity.select("node", "bits"), "node").select("grp", "node", "n", "comp", "bits")
+        across = mixed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(percent, nearest), "a long, b long").distinct()
+        rest = stored(across.join(tried, ["a", "b"], "left_anti"), "join-rest")
+        links = links.union(stored(verify(docs, rest, width, percent), "join-links"))
+        tried = tried.union(rest)
+    labels = components(links, "join-components")
     own = nodes.join(labels, "node", "left").select("doc_id", "uid", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = own.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id", "uid", "component")
