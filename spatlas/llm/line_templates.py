@@ -12,17 +12,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spatlas.llm.common import row_uid, stored
+from spatlas.llm.winnowing import _bit_table, _in_table
 
 _DIGIT = re.compile(r"[0-9]")
 _FIELD = re.compile(r"\S*[0-9]\S*")
-#: Tokens of a line up to which its fields are generalised; longer ones are passages, which recur as they are or not at all.
-MAX_FIELDS = 32
 LINES = "doc_id long, uid long, line int, leaf long, shape long, chars long, fresh boolean, tokens array<int>"
 
 
@@ -49,7 +49,7 @@ def _scan(depth: int, min_tokens: int):
                         continue
                     fresh = (leaf, shape) not in seen
                     seen.add((leaf, shape))
-                    fields = [_signed(xxhash.xxh32_intdigest(t), 32) for t in tokens] if fresh and len(tokens) <= MAX_FIELDS else None
+                    fields = [_signed(xxhash.xxh32_intdigest(t), 32) for t in tokens] if fresh else None
                     out.append((doc_id, uid, at, leaf, shape, len(line), fresh, fields))
                 if len(out) > 50_000:
                     yield _table(out)
@@ -65,11 +65,25 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in LINES.split(", ")])
 
 
+def _filter(at: int, bits):
+    def scan(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_table(bits.value, batch.column(at).to_numpy().view(np.uint64))))
+
+    return scan
+
+
+def _among(lines: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """(leaf, shape, tokens) of the lines whose hash ``column`` may be among those ``wanted``, by 2 MB of bits: tokens of the others aren't shuffled."""
+    bits = lines.sparkSession.sparkContext.broadcast(_bit_table(wanted.select(F.col(column).alias("fp"))))
+    return lines.select("leaf", "shape", "tokens").mapInArrow(_filter(["leaf", "shape"].index(column), bits), "leaf long, shape long, tokens array<int>")
+
+
 def templates(lines: DataFrame, min_docs: int, constant_share: float, depth: int) -> DataFrame:
     """(leaf, shape, template) of the lines whose fields are generalised. A line counts once a document."""
-    short = lines.where("tokens IS NOT NULL")
-    busy = short.groupBy("leaf").agg(F.count("*").alias("n"), F.min("shape").alias("a"), F.max("shape").alias("b")).where(f"n >= {min_docs} AND a <> b").select("leaf")
-    distinct = stored(short.join(busy, "leaf").groupBy("leaf", "shape").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")), "template-lines")
+    once = lines.where("fresh")
+    busy = stored(once.groupBy("leaf").agg(F.count("*").alias("n"), F.min("shape").alias("a"), F.max("shape").alias("b")).where(f"n >= {min_docs} AND a <> b").select("leaf"), "busy-leaves")
+    distinct = stored(_among(once, "leaf", busy).join(busy, "leaf").groupBy("leaf", "shape").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")), "template-lines")
     fields = distinct.select("leaf", "shape", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
     often = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support")).where(f"support >= {min_docs}").drop("support")
     kept = fields.join(often, ["leaf", "place", "token"]).groupBy("leaf", "shape").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("kept"))

@@ -123,6 +123,16 @@ def test_line_templates(spark):
     assert line_dedup(empty(spark)).count() == 0
 
 
+def test_long_line_templates(spark):
+    """Lines of any length are generalised: a 60-word notice with a word of its own in each document."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    notice = [word() for _ in range(60)]
+    docs = [(i, "\n".join([" ".join(word() for _ in range(90)), " ".join([*notice[:30], word(), *notice[31:]]), " ".join(word() for _ in range(9))])) for i in range(8)]
+    found = {x.doc_id: x for x in line_dedup(frame(spark, docs)).collect()}
+    assert all(found[i].n_dropped == 1 and found[i].text.split("\n") == t.split("\n")[::2] for i, t in docs)
+
+
 # ---------------------------------------------------------------- 3 suffix arrays
 def brute_removed(rows, length):
     out, order, seen = {}, sorted({(i is not None, i or 0, t or "") for i, t in rows}), {}
