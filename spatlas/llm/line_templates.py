@@ -2,8 +2,11 @@
 
 A line is parsed to a leaf of a tree of fixed depth: its token count, then its leading tokens, where tokens with digits are
 wildcards. Within a leaf, variable fields are generalised: a token stays in the template only if enough lines of the leaf have it
-at that place; if too few stay, the line is its own template. A template that recurs in enough documents is boilerplate and its lines are dropped, unless the
-documents that have it mostly consist of recurring lines: these are copies of one another, whose lines are theirs.
+at that place; if too few stay, the line is its own template. A template that recurs in enough distinct documents is boilerplate and its lines are dropped.
+
+Documents that mostly consist of recurring lines may be copies of one another, whose lines are theirs. What else such a document
+holds tells: lines of its own, other than near variants of recurring lines, make it distinct, however little they are, and so do the
+recurring lines beside the one that is voted on.
 
 Leaves are never gathered: all of this is counts by (leaf, place, token), (leaf, line) and (template, document), combined
 before each shuffle, so a hot line or leaf costs a few rows a task."""
@@ -23,7 +26,7 @@ from spatlas.llm.winnowing import _bit_table, _in_table
 
 _DIGIT = re.compile(r"[0-9]")
 _FIELD = re.compile(r"\S*[0-9]\S*")
-LINES = "doc_id long, uid long, line int, leaf long, shape long, chars long, fresh boolean, tokens array<int>"
+LINES = "doc_id long, uid long, line int, leaf long, shape long, chars long, rest long, fresh boolean, tokens array<int>"
 
 
 def _signed(n: int, bits: int = 64) -> int:
@@ -42,15 +45,19 @@ def _scan(depth: int, min_tokens: int):
         for batch in batches:
             out: list[tuple] = []
             for doc_id, uid, text in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), batch.column("text"), strict=True):
-                seen = set()
+                seen, start, short = set(), len(out), xxhash.xxh64()
                 for at, line in enumerate((text.as_py() or "").split("\n")):
                     leaf, shape, tokens = parse(line, depth)
                     if len(tokens) < min_tokens:
+                        if tokens:
+                            short.update(f"{' '.join(tokens)}\n")
                         continue
                     fresh = (leaf, shape) not in seen
                     seen.add((leaf, shape))
                     fields = [_signed(xxhash.xxh32_intdigest(t), 32) for t in tokens] if fresh else None
                     out.append((doc_id, uid, at, leaf, shape, len(line), fresh, fields))
+                rest = _signed(short.intdigest())
+                out[start:] = [(*x[:6], rest, *x[6:]) for x in out[start:]]
                 if len(out) > 50_000:
                     yield _table(out)
                     out = []
@@ -60,7 +67,7 @@ def _scan(depth: int, min_tokens: int):
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
     columns = list(zip(*rows, strict=True)) or [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in LINES.split(", ")])
 
@@ -91,11 +98,40 @@ def templates(lines: DataFrame, min_docs: int, constant_share: float, depth: int
     return kept.where(enough).select("leaf", "shape", F.xxhash64(F.lit(1), "kept").alias("template"))
 
 
+def _variants(lines: DataFrame, own: DataFrame, sources: DataFrame) -> DataFrame:
+    """Those of ``own`` (leaf, shape) that share a third of their runs of three tokens, ends included, with one of ``sources``.
+
+    A run stands for one source, the smallest that has it, so a frequent run adds one row."""
+    wanted = stored(own.distinct().withColumn("source", F.lit(False)).union(sources.withColumn("source", F.lit(True))), "variant-lines")
+    tokens = _among(lines.where("fresh"), "shape", wanted).groupBy("leaf", "shape").agg(F.first("tokens").alias("tokens"))
+    padded = wanted.join(tokens, ["leaf", "shape"]).select("leaf", "shape", "source", F.concat(F.array(F.lit(0)), "tokens", F.array(F.lit(1))).alias("p"))
+    runs = padded.withColumn("runs", F.expr("array_distinct(transform(sequence(0, size(p) - 3), i -> xxhash64(p[i], p[i + 1], p[i + 2])))"))
+    runs = stored(runs.select("leaf", "shape", "source", F.size("runs").alias("n"), F.explode("runs").alias("run")), "variant-runs")
+    first = runs.where("source").groupBy("run").agg(F.min(F.xxhash64("leaf", "shape")).alias("of"))
+    shared = runs.where("NOT source").join(first, "run").groupBy("leaf", "shape", "of").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    return shared.where("3 * c >= n").select("leaf", "shape").distinct()
+
+
+def _votes(lines: DataFrame, suspects: DataFrame, sources: DataFrame) -> DataFrame:
+    """(leaf, template, n, votes): how many of ``suspects`` have a recurring template, and how many distinct ones that are."""
+    variants = _variants(lines, suspects.where("NOT recurs").select("leaf", "shape"), sources).withColumn("variant", F.lit(True))
+    h = F.xxhash64("leaf", "template")
+    own = ~F.col("recurs") & F.col("variant").isNull()
+    rests = suspects.join(variants, ["leaf", "shape"], "left").groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(
+        F.count_if(own).alias("n_own"), F.bit_xor(F.when(own, h)).alias("own"), F.slice(F.sort_array(F.collect_set(F.when(F.col("recurs"), h))), 1, 2).alias("low"), F.first("rest").alias("short")
+    )
+    beside = F.when(F.get("low", F.lit(0)) == h, F.get("low", F.lit(1))).otherwise(F.get("low", F.lit(0)))
+    vote = F.when(F.col("n_own") > 0, F.xxhash64(F.lit(1), "own")).otherwise(F.xxhash64(F.lit(2), beside, "short"))
+    cast = suspects.where("recurs").join(rests, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
+    return cast.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.countDistinct(vote).alias("votes"))
+
+
 def line_dedup(documents: DataFrame, min_docs: int = 5, depth: int = 3, constant_share: float = 0.7, min_tokens: int = 3, copied_share: float = 0.5) -> DataFrame:
     """The rows of ``documents`` with ``text`` without the lines of recurring templates; n_lines, n_dropped and uid are added.
 
-    Lines are cut at line feeds; lines of fewer than ``min_tokens`` tokens are never dropped. A document whose lines (by
-    characters) are recurring ones for more than ``copied_share`` doesn't count towards ``min_docs``, but its boilerplate is dropped too. A null
+    Lines are cut at line feeds; lines of fewer than ``min_tokens`` tokens are never dropped. Documents whose lines (by
+    characters) are recurring ones for more than ``copied_share`` count once towards ``min_docs`` for each distinct set of lines of their own; those
+    without any, once for each smallest other recurring line and short lines. Boilerplate is dropped from all. Passages that repeat in fewer than ``min_docs`` stay. A null
     text stays null and has no lines; a text can become empty, its row stays. Rows equal in doc_id and text are one document and get
     equal results. Columns named n_lines, n_dropped or uid are replaced, all others kept. An empty table gives an empty result."""
     keys = ["doc_id", "uid"]
@@ -103,14 +139,17 @@ def line_dedup(documents: DataFrame, min_docs: int = 5, depth: int = 3, constant
     scanned = docs.select(F.col("doc_id").cast("long"), "uid", "text").mapInArrow(_scan(depth, min_tokens), LINES)
     lines = stored(scanned, "lines")
     named = lines.join(templates(lines, min_docs, constant_share, depth), ["leaf", "shape"], "left")
-    named = named.select(*keys, "line", "chars", "leaf", F.coalesce("template", "shape").alias("template"))
-    by_doc = stored(named.groupBy("leaf", "template", *keys).agg(F.sum("chars").alias("chars"), F.collect_set("line").alias("at")), "line-templates")
-    recurring = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(f"docs >= {min_docs}")
-    marked = by_doc.join(recurring, ["leaf", "template"], "left")
-    copied = F.sum(F.when(F.col("docs").isNotNull(), F.col("chars")).otherwise(0)) > copied_share * F.sum("chars")
-    own = marked.groupBy(*keys).agg(copied.alias("copied")).where("NOT copied").select(F.col("doc_id").alias("d"), F.col("uid").alias("u"))
-    in_own = by_doc.join(recurring, ["leaf", "template"]).join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
-    boilerplate = in_own.groupBy("leaf", "template").agg(F.count("*").alias("n")).where(f"n >= {min_docs}").select("leaf", "template")
+    named = named.select(*keys, "line", "chars", "rest", "leaf", "shape", F.coalesce("template", "shape").alias("template"))
+    by_doc = stored(named.groupBy("leaf", "template", *keys).agg(F.sum("chars").alias("chars"), F.collect_set("line").alias("at"), F.min("shape").alias("shape"), F.first("rest").alias("rest")), "line-templates")
+    recurring = stored(by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("shape").alias("example")).where(f"docs >= {min_docs}"), "recurring-templates")
+    marked = by_doc.join(recurring, ["leaf", "template"], "left").withColumn("recurs", F.col("docs").isNotNull())
+    copied = F.sum(F.when(F.col("recurs"), F.col("chars")).otherwise(0)) > copied_share * F.sum("chars")
+    maybe = stored(marked.groupBy(*keys).agg(copied.alias("copied")).where("copied").select(F.col("doc_id").alias("d"), F.col("uid").alias("u")), "maybe-copies")
+    of_maybe = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u"))
+    suspects = stored(marked.join(maybe, of_maybe, "left_semi").select(*keys, "leaf", "template", "shape", "rest", "recurs"), "maybe-copied-lines")
+    voted = _votes(lines, suspects, recurring.select("leaf", F.col("example").alias("shape")))
+    distinct = F.col("docs") - F.coalesce("n", F.lit(0)) + F.coalesce("votes", F.lit(0))
+    boilerplate = recurring.join(voted, ["leaf", "template"], "left").where(distinct >= min_docs).select("leaf", "template")
     dropped = by_doc.join(boilerplate, ["leaf", "template"]).groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     joined = docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")), "left").drop("d", "u")
     left = "array_join(filter(split(text, '\\n'), (l, i) -> NOT array_contains(at, i)), '\\n')"

@@ -123,6 +123,27 @@ def test_line_templates(spark):
     assert line_dedup(empty(spark)).count() == 0
 
 
+def test_boilerplate_of_short_pages(spark):
+    """Boilerplate goes however large its share is; copies, also with changed words, keep their lines."""
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    notice, header, footer, large = words(60), words(6), words(8), words(300)
+    pages = [(i, f"{words(25)}\n{notice}\n{words(25)}") for i in range(8)]
+    framed = [(20 + i, f"{header}\n{words(12)}\n{large}\n{footer}") for i in range(8)]
+    titled = [(40 + i, f"{words(2)}\n{framed[0][1].split(chr(10))[2][:200]} end") for i in range(8)]
+    base = [words(10) for _ in range(8)]
+    near = []
+    for i in range(24):
+        lines = [x.split() for x in base]
+        lines[i % 8][r.randrange(10)] = words(1)
+        near.append((60 + i, "\n".join(" ".join(x) for x in lines)))
+    found = {x.doc_id: x for x in line_dedup(frame(spark, [*pages, *framed, *titled, *near])).collect()}
+    assert all(found[i].text.split("\n") == t.split("\n")[::2] for i, t in pages)
+    assert all(found[i].text == t.split("\n")[1] for i, t in framed)
+    assert all(found[i].text == t.split("\n")[0] for i, t in titled)
+    assert all(found[i].text == t for i, t in near)
+
+
 def test_long_line_templates(spark):
     """Lines of any length are generalised: a 60-word notice with a word of its own in each document."""
     r = random.Random(5)
