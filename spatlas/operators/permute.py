@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spatlas.functions import cluster_label, hashed_int, significant
 from spatlas.operators.fdr import adjust_pvalues
 from spatlas.schema import ValidationError, require_permutations
+from spatlas.storage import stored
 
 #: Bytes of draws up to which they are broadcast; beyond it, the join is left to the optimizer.
 BROADCAST_BYTES = 64 << 20
@@ -65,6 +66,24 @@ def global_permutations(edges: DataFrame, values: DataFrame, permutations: int =
     return summarize(simulate_global(edges, centred, permutations, seed), observed, permutations)
 
 
+def panel_permutations(edges: DataFrame, values: DataFrame, permutations: int = 999, seed: int = 12345) -> DataFrame:
+    """One row a ``series`` of ``values`` (series, pos, value), which shuffles under seed + series; one plan for all series.
+
+    A place carries its values of all replicates, the observed one first, so an edge is joined once a series."""
+    require_permutations(permutations, seed)
+    z = values.join(values.groupBy("series").agg(F.avg("value").alias("_m")), "series").select("series", "pos", (F.col("value").cast("double") - F.col("_m")).alias("z"))
+    reps = values.sparkSession.range(permutations).select(F.col("id").alias("rep"))
+    keyed = z.crossJoin(F.broadcast(reps)).withColumn("_k", F.md5(F.concat_ws(":", (F.lit(seed) + F.col("series")).cast("string"), F.col("rep").cast("string"), F.col("pos").cast("string")).cast("binary")))
+    rank = F.row_number().over(Window.partitionBy("series", "rep").orderBy("_k", "pos")) - 1
+    every = keyed.select("series", "rep", rank.cast("long").alias("pos"), "z").union(z.select("series", F.lit(-1).cast("long").alias("rep"), "pos", "z"))
+    packed = stored(every.groupBy("series", "pos").agg(F.sort_array(F.collect_list(F.struct("rep", "z"))).alias("d")).select("series", "pos", F.col("d.z").alias("z")), "panel-draws")
+    a, b = (packed.select("series", F.col("pos").alias(c), F.col("z").alias(f"z{c}")) for c in "ij")
+    terms = edges.join(a, "i").join(b, ["series", "j"]).select("series", "w", F.posexplode(F.zip_with("zi", "zj", lambda x, y: x * y)).alias("at", "zz"))
+    scale = z.groupBy("series").agg((F.count("*") / F.sum(F.col("z") * F.col("z"))).alias("_a")).crossJoin(edges.agg(F.sum("w").alias("_s0")))
+    sims = stored(terms.groupBy("series", "at").agg(F.sum(F.col("w") * F.col("zz")).alias("_zl")).join(scale, "series").select("series", "at", (F.col("_a") / F.col("_s0") * F.col("_zl")).alias("sim")), "panel-simulations")
+    return summarize(sims.where("at > 0"), sims.where("at = 0").select("series", F.col("sim").alias("observed")), permutations, ["series"])
+
+
 def shared_draws(values: DataFrame, card: int, permutations: int, seed: int) -> DataFrame:
     """A row for each replicate: ``h`` (card distinct positions among n - 1), and the values ``lo`` at h and ``hi`` at h + 1, by slot.
 

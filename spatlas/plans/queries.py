@@ -371,8 +371,7 @@ def local_moran_panel(spark, sf_dir):
 @query("moran_panel_perm")
 def moran_panel_perm(spark, sf_dir):
     edges, values = panel(spark, sf_dir)
-    few = values.where("period < 2")
-    return runners.moran_panel(edges, few, 9, SEED, periods=[0, 1]).select("variable", "period", "I", "p_sim", "EI_sim")
+    return runners.moran_panel(edges, values, R, SEED).select("variable", "period", "I", "p_sim", "EI_sim")
 
 
 # ---------------------------------------------------------------- multiple testing

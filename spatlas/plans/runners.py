@@ -82,12 +82,11 @@ def moran_panel(edges: DataFrame, values: DataFrame, permutations: int = 0, seed
     periods = periods or sorted(r[0] for r in values.select("period").distinct().collect())
     ids = stored(with_positions(values.select("id").distinct(), ["id"]), "ids")
     placed = stored(edges.join(ids.select(F.col("id").alias("i"), F.col("pos").alias("pi")), "i").join(ids.select(F.col("id").alias("j"), F.col("pos").alias("pj")), "j").select(F.col("pi").alias("i"), F.col("pj").alias("j"), "w"), "edges")
-    tests = None
-    for a, variable in enumerate(variables):
-        for b, period in enumerate(periods):
-            one = values.where((F.col("variable") == variable) & (F.col("period") == period)).join(ids, "id").select("pos", "value")
-            row = permute.global_permutations(placed, one, permutations, seed + a * len(periods) + b).select(F.lit(variable).alias("variable"), F.lit(period).alias("period"), "p_sim", "EI_sim", "seI_sim", "z_sim")
-            tests = row if tests is None else tests.union(row)
+    index = [(variable, period, a * len(periods) + b) for a, variable in enumerate(variables) for b, period in enumerate(periods)]
+    kinds = values.select("variable", "period").schema
+    series = F.broadcast(values.sparkSession.createDataFrame(index, f"variable {kinds[0].dataType.simpleString()}, period {kinds[1].dataType.simpleString()}, series int"))
+    placed_values = stored(values.join(series, ["variable", "period"]).join(ids, "id").select("series", "pos", "value"), "series")
+    tests = permute.panel_permutations(placed, placed_values, permutations, seed).join(series, "series").select("variable", "period", "p_sim", "EI_sim", "seI_sim", "z_sim")
     return found.join(tests, ["variable", "period"])
 
 

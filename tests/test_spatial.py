@@ -1,6 +1,8 @@
 """Operators against NumPy on small inputs, and the contracts of bad input."""
 
+import hashlib
 import math
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from spatlas import schema
 from spatlas.functions import inferential_mask, two_sided_p
 from spatlas.operators import fdr, lag, moran, permute, weights
 from spatlas.operators.stencil import RasterOperator, Stencil, inverse_distance, queen, raster_weights, rook
-from spatlas.plans import audit, interpret, runners
+from spatlas.plans import audit, interpret, queries, runners
 from spatlas.schema import ValidationError
 from spatlas.sinks import audit_report, read_local, write_csv, write_json, write_local_parquet
 from spatlas.sources import files, synthetic
@@ -203,6 +205,24 @@ def test_moran_and_panel(spark):
     assert found.count() == 4 and found.where("p_sim < 0.1").count() == found.where("p_sim = 0.1").count() - found.where("p_sim >= 0.1").count() + found.where("p_sim > 0.1").count()
 
 
+def test_panel_permutations(spark, tmp_path):
+    """The registered query: every series, R permutations, against brute force."""
+    r = np.random.default_rng(4)
+    events = [(int(u), "ab"[v], datetime(2024, 1, 1 + 7 * p, 12)) for u in range(1, 9) for v in (0, 1) for p in range(3) for _ in range(int(r.integers(1, 9)) + u * v)]
+    spark.createDataFrame(events, "user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(x.variable, x.period): x for x in queries.QUERIES["moran_panel_perm"](spark, str(tmp_path)).collect()}
+    w = np.array([[1 / (i - j) ** 2 if 0 < abs(i - j) <= 3 else 0 for j in range(8)] for i in range(8)])
+    w /= w.sum(1, keepdims=True)
+    index = lambda z: 8 / w.sum() * (z @ w @ z) / (z @ z)
+    assert len(got) == 6
+    for k, (v, p) in enumerate((v, p) for v in "ab" for p in range(3)):
+        y = np.array([sum(e[0] == u and e[1] == v and (e[2].day - 1) // 7 == p for e in events) for u in range(1, 9)], float)
+        orders = [sorted(range(8), key=lambda i: hashlib.md5(f"{queries.SEED + k}:{rep}:{i}".encode()).hexdigest()) for rep in range(queries.R)]
+        sims, observed = np.array([index((y - y.mean())[o]) for o in orders]), index(y - y.mean())
+        g = int((sims >= observed).sum())
+        assert np.allclose([got[v, p].I, got[v, p].EI_sim, got[v, p].p_sim], [observed, sims.mean(), (min(g, 99 - g) + 1) / 100])
+
+
 def test_validation(spark):
     schema.validate_values(vector(spark), n=5)
     for bad in (vector(spark, [1.0, math.nan]), vector(spark, [1.0, math.inf]), vector(spark, [1.0, None]), vector(spark, [2.0, 2.0]), vector(spark, []), vector(spark).union(vector(spark))):
