@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,32 @@ KNOWN = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """The texts of the folder ``licenses``, with the forms in which they are usual: with and without what follows or precedes the terms."""
+    texts = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    out, bsd = [], texts.pop("BSD-3-Clause")
+    third = re.search(r"3\. Neither.*?permission\.\n\n", bsd, re.S).group()
+    for name, terms in (("BSD-3-Clause", bsd), ("BSD-2-Clause", bsd.replace(third, ""))):
+        title = f"{name[4]}-Clause License\n\n"
+        for head, reserved, numbered, holder in product(("", f"BSD {title}", f"The BSD {title}"), ("", "All rights reserved.\n\n"), (True, False), ("HOLDER", "OWNER")):
+            body = terms if numbered else re.sub(r"(?m)^[123]\. ", "* ", terms)
+            out.append((name, head + reserved + body.replace("COPYRIGHT HOLDER OR", f"COPYRIGHT {holder} OR")))
+    for name, text in texts.items():
+        forms = {text}
+        for end in (r"END OF TERMS AND CONDITIONS", r"Exhibit A - Source Code Form License Notice", r"EXHIBIT A -Mozilla Public License"):
+            for cut in re.finditer(end, text):
+                forms |= {text[: cut.start()], text[: cut.end()]}
+        forms.add(text.replace("Copyright [yyyy] [name of copyright owner]", ""))
+        if name == "CC-BY-4.0":
+            parts = re.split(r"(?m)^=+$", text)
+            forms |= {"".join(parts[:-1]), parts[-2]}
+        out += [(name, x) for x in sorted(forms)]
+    return out
+
+
+KNOWN += whole_texts()
 #: (pattern, replacement) after lower-casing, in this order; both Java's and RE2's syntax.
 STEPS = [
     (r"(?m)^[^\n]*(copyright[^\n]*[0-9]{4}|copyright *(\(c\)|©)|\(c\) *[0-9]{4}|© *[0-9]{4})[^\n]*$", ""),

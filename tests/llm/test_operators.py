@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -295,6 +296,15 @@ def test_license_scan(spark):
     assert license_scan.license_scan(empty(spark)).count() == 0
 
 
+def test_license_scan_knows_whole_texts(spark):
+    texts = {f.stem: f.read_text() for f in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    bsd2 = "Copyright (c) 2019, Someone\nAll rights reserved.\n\n" + re.sub(r"3\. Neither.*?permission\.\n\n", "", texts["BSD-3-Clause"], flags=re.S)
+    apache = texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Someone").replace("http:", "https:")
+    want = {**dict(enumerate(sorted(texts))), 100: "BSD-2-Clause", 101: "Apache-2.0", 102: "Apache-2.0", 103: None}
+    rows = [*((i, texts[n]) for i, n in enumerate(sorted(texts))), (100, bsd2), (101, apache), (102, apache[: apache.index("END OF TERMS")]), (103, texts["GPL-3.0"][:9000])]
+    assert len(texts) >= 11 and dict(license_scan.license_scan(frame(spark, rows)).select("doc_id", "text_license").collect()) == want
+
+
 # ---------------------------------------------------------------- 7 rules
 def measured(text):
     text = text or ""
