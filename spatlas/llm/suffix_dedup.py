@@ -1,4 +1,4 @@
-"""Exact substring deduplication with longest-previous-factor values.
+"""Exact substring deduplication by classes of equal substrings.
 
 The corpus order is (doc_id, byte offset), nulls first. A start whose next ``length`` bytes also start earlier has a
 longest previous factor of at least ``length``; every byte that such a string covers is removed, so the first copy stays.
@@ -6,10 +6,11 @@ longest previous factor of at least ``length``; every byte that such a string co
 A whole suffix array of the corpus can't be held in a task. Suffixes are therefore first dealt by content: the smallest
 hash of the ``SEED`` byte strings within the next ``length`` bytes (a minimiser) names the bucket, and equal strings have equal
 minimisers. Starts that follow one another with the same minimiser form a block. Blocks whose whole content occurs earlier are
-later copies; blocks that alone have their minimiser can't repeat; only the rest go to the suffix arrays. There suffixes
-are sorted by their names (nested doubling hashes, as in Karp, Miller and Rosenberg's naming, so that equal ``length``-byte
-prefixes are neighbours), and the previous and next smaller positions in that order give the earlier matches. Batches keep the
-smallest position of a string before the shuffle, so a hot string adds one record a batch.
+later copies; blocks that alone have their minimiser can't repeat; only the rest are compared. There suffixes
+are grouped by the names of their ``length``-byte prefixes (nested doubling hashes, as in Karp, Miller and Rosenberg's naming), and a start
+has an earlier match exactly where its class's smallest position is smaller. So the operator runs hash classes with class minima, no
+suffix order and no factor lengths; ``suffix_array``, ``smaller_neighbours`` and ``longest_previous_factors`` give those for one text and are
+not on its path. Batches keep the smallest position of a string before the shuffle, so a hot string adds one record a batch.
 """
 
 from __future__ import annotations
