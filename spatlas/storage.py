@@ -1,4 +1,7 @@
-"""Tables written on the way: they cut lineage and survive lost executors."""
+"""Tables written on the way: they cut lineage and survive lost executors.
+
+All tables of a session are in one folder of ``spark.checkpoint.dir``. Those that a loop outgrows are discarded at once; those that
+results still read go with ``clear``, once the results are written."""
 
 from __future__ import annotations
 
@@ -10,20 +13,42 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; without it, a local session gets a temporary folder and a cluster an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's folder in ``spark.checkpoint.dir``; without that setting, a local session gets a temporary one and a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spatlas-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/spatlas-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet in the shared folder and read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` gave; nothing may read it afterwards."""
+    _delete(df.sparkSession, df._stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of the session, once no result reads them any more."""
+    _delete(spark, shared_dir(spark))
 
 
 def with_positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
