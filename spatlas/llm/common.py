@@ -1,9 +1,7 @@
-"""Shared pieces: stored tables, row identities, NumPy word hashing, packed buckets and connected components."""
+"""Shared pieces: row identities, NumPy word hashing, packed buckets and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,34 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spatlas.storage import discard, stored
+
 U64 = np.uint64
 #: Bytes of text that one NumPy pass works on; bounds a Python worker's memory at about 40 times this.
 CHUNK = 2 << 20
 
 
-# ---------------------------------------------------------------- stored tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; without that setting a local session gets a temporary one."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        set_dir = "file://" + tempfile.mkdtemp(prefix="spatlas-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_uid(text: str = "text") -> Column:
     """Identity of a row's content beside its ``doc_id``: equal for repeated rows, defined for null texts."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
@@ -221,12 +198,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     stored. Sums by node are combined before the shuffle; a hot node's join is left to AQE's skew handling."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
-    labels = stored(labels, f"{name}-labels")
+    labels = last = stored(labels, f"{name}-labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
         step = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("to"))
         jump = step.join(labels.select(F.col("node").alias("to"), F.col("component").alias("far")), "to", "left")
         new = stored(jump.select("node", "old", F.least("to", F.coalesce("far", "to")).alias("component")), f"{name}-labels")
-        labels = new.select("node", "component")
+        discard(last)
+        labels, last = new.select("node", "component"), new
         if not new.where("component <> old").limit(1).count():
+            discard(both)
             return labels

@@ -7,24 +7,52 @@ are combined before the shuffle; no step gathers a category's rows in one task."
 
 from __future__ import annotations
 
-from functools import reduce
+import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from spatlas.llm.common import stored
+from spatlas.storage import discard, stored
 
 DIMENSIONS = ["source", "lang", "topic"]
-#: Topics where a table names none: the first word's hash, one of so many.
+#: Word classes that stand for topics where a table names none.
 TOPICS = 8
+#: Cells that a task rakes; more are raked by more tasks, with shuffles between the dimensions.
+CELLS_A_TASK = 200_000
 
 
 def word_count(text: str = "text") -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
 
 
-def lexical_topic(text: Column) -> Column:
-    return F.concat(F.lit("topic"), F.expr("pmod(xxhash64(substring_index(lower(trim(coalesce(text, ''))), ' ', 1)), {0})".format(TOPICS)).cast("string"))
+def lexical_topic(text: Column, classes: int = TOPICS) -> Column:
+    """The class (a hash, one of at most 10) that most content words of the whole text are of, the smallest of equal ones; '' without such
+    words. Content words have three letters or more; characters beyond ASCII count as letters."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: F.length(w) >= 3)
+    marks = F.array_join(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(classes)).cast("string")), "")
+    return _most(F.transform(F.array(marks), lambda m: F.array(*[_times(m, k) for k in range(classes)]))[0], [f"topic{k}" for k in range(classes)])
+
+
+def _times(marks: Column, k: int) -> Column:
+    return F.length(marks) - F.length(F.replace(marks, F.lit(str(k))))
+
+
+def _most(counts: Column, names: list[str]) -> Column:
+    """The name of the largest count, the first of equal ones; '' if all are 0."""
+    best = F.transform(F.array(counts), lambda c: F.when(F.array_max(c) > 0, F.element_at(F.array(*map(F.lit, names)), F.array_position(c, F.array_max(c)).cast("int"))).otherwise(""))
+    return best[0]
+
+
+def topic_by_terms(text: Column, terms: dict[str, list[str]]) -> Column:
+    """The topic of whose listed words the whole text has most, in the lists' order among equal ones; '' without any."""
+    every = "|".join(sorted({w.lower() for words in terms.values() for w in words}, key=lambda w: (-len(w), w)))
+    hits = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![\\p{{L}}\\p{{N}}])({every})(?![\\p{{L}}\\p{{N}}])"))
+
+    def count(found: Column, words: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin([x.lower() for x in words])))
+
+    counts = F.transform(F.array(hits), lambda found: F.array(*[count(found, words) for words in terms.values()]))
+    return _most(counts[0], list(terms))
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -33,46 +61,64 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return sums.crossJoin(sums.agg(F.sum("t").alias("all"))).select(dimension, F.coalesce(F.col("t") / F.expr("nullif(all, 0)"), F.lit(0.0)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, rounds: int = 20) -> DataFrame:
+def _prepared(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """Cells with a number and a target share of their category in each dimension (_id_d, _target_d), and _weight."""
+    for d, target in targets.items():
+        sums = cells.groupBy(d).agg(F.sum("tokens").alias("_have"))
+        wanted = sums.join(target.select(F.col(d).alias("_d"), F.col("target").cast("double").alias("_t")), F.col(d).eqNullSafe(F.col("_d")), "left")
+        met = F.when(F.col("_have") > 0, F.col("_t")).otherwise(0.0)
+        whole = sums.join(target.select(F.col(d).alias("_d"), F.col("target").cast("double").alias("_t")), F.col(d).eqNullSafe(F.col("_d"))).agg(F.sum(met).alias("_all"))
+        shares = wanted.crossJoin(whole).select("_d", F.col(d).alias("_c"), F.monotonically_increasing_id().alias(f"_id_{d}"), F.coalesce(met / F.expr("nullif(_all, 0)"), F.lit(0.0)).alias(f"_target_{d}"))
+        cells = cells.join(shares.drop("_d"), F.col(d).eqNullSafe(F.col("_c"))).drop("_c")
+    return cells.withColumn("_weight", F.col("tokens").cast("double"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, rounds: int = 200) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``weight``: as tokens, but with the target shares in every dimension.
 
-    A target is (category, target). A category without target gets weight 0; targets of categories without tokens can't be
-    met and are left out, the others scaled to sum to 1. If the rounds end first, the last dimension's marginal holds exactly."""
-    own = cells.columns
-    for d, target in targets.items():
-        there = cells.where("tokens > 0").select(d).distinct().join(target, d)
-        share = there.crossJoin(there.agg(F.sum("target").alias("all"))).select(d, (F.col("target") / F.col("all")).alias(f"target_{d}"))
-        cells = cells.join(share, d, "left").fillna(0.0, [f"target_{d}"])
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    raked = stored(cells.crossJoin(total).withColumn("weight", F.col("tokens").cast("double")), "rake")
+    A target is (category, target); null is a category. One without target gets weight 0; targets of categories without tokens can't be
+    met and are left out, the others scaled to sum to 1. A round scales the weights to one dimension after the other, and
+    the rounds end when none had to move a share by more than ``tolerance``. Targets that empty cells contradict never get there:
+    after ``rounds`` a warning tells the gap, and only the last dimension's marginal holds exactly. A round is one job over cells;
+    up to 200,000 of them are one task's work without a shuffle. Categories carry numbers, so that rounds join by integers."""
+    own, names = cells.columns, list(targets)
+    n, total = cells.agg(F.count("*"), F.sum("tokens").cast("double")).first()
+    if not total:
+        return cells.withColumn("weight", F.lit(0.0))
+    parts = -(-n // CELLS_A_TASK)
+    raked = stored(_prepared(cells, targets), "rake")
     for _ in range(rounds):
-        new = raked
-        for d in targets:
-            sums = new.groupBy(d).agg(F.sum("weight").alias("have"))
-            new = new.join(sums, d).withColumn("weight", F.coalesce(F.col("weight") * F.col(f"target_{d}") * F.col("total") / F.expr("nullif(have, 0)"), F.lit(0.0))).drop("have")
-        raked = stored(new, "rake")
-        gaps = [raked.groupBy(d).agg(F.abs(F.sum("weight") / F.max("total") - F.max(f"target_{d}")).alias("gap")) for d in targets]
-        worst = reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0]
-        if worst is None or worst <= tolerance:
+        new, moved = raked.coalesce(parts), Observation()
+        for d in names:
+            sums = new.groupBy(f"_id_{d}").agg(F.sum("_weight").alias("_have"))
+            new = new.join(sums.hint("merge") if parts == 1 else sums, f"_id_{d}").withColumn(f"_gap_{d}", F.abs(F.col("_have") / total - F.col(f"_target_{d}")))
+            new = new.withColumn("_weight", F.coalesce(F.col("_weight") * F.col(f"_target_{d}") * total / F.expr("nullif(_have, 0)"), F.lit(0.0))).drop("_have")
+        last, raked = raked, stored(new.observe(moved, F.max(F.greatest(F.lit(0.0), *[F.col(f"_gap_{d}") for d in names])).alias("gap")).select(raked.columns), "rake")
+        discard(last)
+        gap = moved.get["gap"]
+        if gap <= tolerance:
             break
-    return raked.select(*own, "weight")
+    else:
+        warnings.warn(f"after {rounds} rounds shares still move by {gap:.2g}: empty cells contradict the targets", stacklevel=2)
+    return raked.select(*own, F.col("_weight").alias("weight"))
 
 
 def mix(documents: DataFrame, share: float = 0.5, targets: dict[str, DataFrame] | None = None, power: float = 0.5, seed: int = 7, topic: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``documents`` (doc_id, text, source, lang) with topic, n_tokens, weight (expected copies) and n_copies.
 
     ``share`` is the token budget as part of all tokens; ``targets`` by dimension, or tempered by ``power``. Tokens are words; texts without
-    words have weight 0. A null source or language is the category ''. Rows that are equal in doc_id and text are drawn
-    alike. ``keep`` names more columns to carry. An empty table gives an empty result."""
-    named = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("source", "lang")]
-    carried = ["doc_id", *[c for c in keep or [] if c != "doc_id"]]
-    roll = (F.expr(f"xxhash64(doc_id, coalesce(text, ''), {seed}L) & {(1 << 53) - 1}L") / float(1 << 53)).alias("_u")
-    rows = documents.select(*carried, *named, (topic if topic is not None else lexical_topic(F.col("text"))).alias("_topic"), word_count().alias("_tokens"), roll)
-    sums = rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
-    cells = stored(sums.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "tokens"), "cells")
+    words have weight 0. ``topic`` is a column of the table, or the class of most content words. A null source, language or topic is the
+    category ''. Rows that are equal in doc_id and text are drawn alike. ``keep`` names more columns to carry; those named
+    as a result are replaced by it. The rows are measured once and stored. An empty table gives an empty result."""
+    results = ["topic", "n_tokens", "weight", "n_copies"]
+    carried = ["doc_id", *[c for c in dict.fromkeys(keep or []) if c not in ("doc_id", *results)]]
+    roll = F.expr(f"xxhash64(doc_id, coalesce(text, ''), {seed}L) & {(1 << 53) - 1}L") / float(1 << 53)
+    named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source", "lang")] + [F.coalesce(topic if topic is not None else lexical_topic(F.col("text")), F.lit("")).alias("topic")]
+    rows = stored(documents.select(F.struct(*carried).alias("kept"), *named, word_count().alias("tokens"), roll.alias("u")), "mix-rows")
+    cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = rake(cells, targets or {d: tempered(cells, d, power) for d in DIMENSIONS})
-    each = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.coalesce(F.lit(share) * F.col("weight") / F.expr("nullif(tokens, 0)"), F.lit(0.0)).alias("_weight"))
-    drawn = rows.join(each, ["_source", "_lang", "_topic"])
-    copies = F.floor("_weight") + F.when(F.col("_u") < F.col("_weight") - F.floor("_weight"), 1).otherwise(0)
-    weight = F.when(F.col("_tokens") > 0, F.col("_weight")).otherwise(0.0)
-    return drawn.select(*carried, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), weight.alias("weight"), F.when(F.col("_tokens") > 0, copies).otherwise(0).cast("long").alias("n_copies"))
+    each = raked.select(*DIMENSIONS, F.coalesce(F.lit(share) * F.col("weight") / F.expr("nullif(tokens, 0)"), F.lit(0.0)).alias("weight"))
+    drawn = rows.join(each, DIMENSIONS)
+    worded = F.col("tokens") > 0
+    copies = F.floor("weight") + F.when(F.col("u") < F.col("weight") - F.floor("weight"), 1).otherwise(0)
+    return drawn.select(*[F.col("kept")[c].alias(c) for c in carried], "topic", F.col("tokens").alias("n_tokens"), F.when(worded, F.col("weight")).otherwise(0.0).alias("weight"), F.when(worded, copies).otherwise(0).cast("long").alias("n_copies"))

@@ -22,7 +22,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatlas.llm.common import U64, Packer, components, gram_hashes, mix, n_buckets, row_uid, signed, stored, text_chunks, unpack, words_of
+from spatlas.llm.common import U64, Packer, components, gram_hashes, mix, n_buckets, row_uid, signed, text_chunks, unpack, words_of
+from spatlas.storage import stored
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, *range(9, 14)]] = False

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from spatlas.llm import ngram_join as join
 from spatlas.llm import license_scan, mixing, quality_rules, token_counts, warc, winnowing
-from spatlas.llm.common import shared_path
 from spatlas.llm.line_templates import line_dedup
 from spatlas.llm.pii import find_pii
 from spatlas.llm.suffix_dedup import suffix_dedup
+from spatlas.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 

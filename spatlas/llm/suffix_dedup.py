@@ -24,7 +24,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatlas.llm.common import BYTE_NAMES, CHUNK, U64, Packer, mix, n_buckets, pack, row_uid, stored, text_chunks, unpack, unpack_one
+from spatlas.llm.common import BYTE_NAMES, CHUNK, U64, Packer, mix, n_buckets, pack, row_uid, text_chunks, unpack, unpack_one
+from spatlas.storage import stored
 
 SEED = 32  # bytes of a seed string; a power of two
 BLOCK = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("uid", "<u4"), ("start", "<u4"), ("count", "u1"), ("loops", "u1"), ("hot", "u1")])

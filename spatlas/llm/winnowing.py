@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatlas.llm.common import U64, gram_hashes, mix, row_uid, signed, stored, text_chunks, words_of
+from spatlas.llm.common import U64, gram_hashes, mix, row_uid, signed, text_chunks, words_of
+from spatlas.storage import stored
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

@@ -387,7 +387,26 @@ def test_mixing(spark):
     assert (found[found.n_tokens == 0].n_copies == 0).all()
     again = mixing.mix(docs.repartition(7), share=0.5, targets={"source": target, "lang": lang}).toPandas()
     assert Counter(zip(found.doc_id, found.n_copies, strict=True)) == Counter(zip(again.doc_id, again.n_copies, strict=True))
+    clash = docs.select("doc_id", "text", "lang", "source", F.lit(1).alias("weight"), F.lit("t").alias("topic"), F.lit(2).alias("u"), F.lit(3).alias("kept"))
+    assert mixing.mix(clash, topic=F.col("topic"), keep=["weight", "u", "kept", "doc_id", "topic"]).columns == ["doc_id", "u", "kept", "topic", "n_tokens", "weight", "n_copies"]
     assert mixing.mix(empty(spark)).count() == 0
+    none = frame(spark, [(1, None), (2, ""), (None, " ")])
+    assert [(r.topic, r.weight, r.n_copies) for r in mixing.mix(none).collect()] == [("", 0.0, 0)] * 3
+
+
+def test_topics_read_whole_texts(spark):
+    rows = [(i, t) for i, t in corpus(n=60)]
+    classes = lambda w: spark.sql(f"SELECT pmod(xxhash64('{w}'), 8)").first()[0]
+    words = {w for _, t in rows for w in re.findall("[a-z\x80-\U0010ffff]+", (t or "").lower()) if len(w) >= 3}
+    of = {r.w: r.c for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "pmod(xxhash64(w), 8) c").collect()}
+    assert classes("abc") in range(8)
+    for i, text, topic in frame(spark, rows).select("doc_id", "text", mixing.lexical_topic(F.col("text"))).collect():
+        counts = Counter(of[w] for w in re.findall("[a-z\x80-\U0010ffff]+", (text or "").lower()) if len(w) >= 3)
+        assert topic == (f"topic{min(counts, key=lambda k: (-counts[k], k))}" if counts else ""), i
+    terms = {"sea": ["boat", "Wave"], "land": ["hill", "boat house"]}
+    texts = ["a boat on a wave, a hill", "x" * 5000 + " hill HILL boats", "the boat house", "nothing", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.topic_by_terms(F.col("text"), terms)).collect()]
+    assert got == ["sea", "land", "land", "", ""]
 
 
 def test_raking_equals_numpy(spark):
@@ -402,6 +421,20 @@ def test_raking_equals_numpy(spark):
         w *= (tb * table.sum() / w.sum(0))[None, :]
     for row in got.collect():
         assert abs(row.weight - w[int(row.a[1]), int(row.b[1])]) < 1e-4
+    half = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "a string, target double"), spark.createDataFrame([(None, 0.9), ("y", 0.1)], "b string, target double")
+    holes = spark.createDataFrame([("a", None, 3), ("b", "y", 5)], "a string, b string, tokens long")
+    with pytest.warns(UserWarning, match="contradict"):  # a diagonal can't have two different marginals
+        left = mixing.rake(holes, {"a": half[0], "b": half[1]}, rounds=5)
+    assert sorted(round(r.weight, 6) for r in left.collect()) == [0.8, 7.2]
+
+
+def test_raking_over_several_tasks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    cells = spark.createDataFrame([(f"a{i}", f"b{j}", int(r.integers(1, 50))) for i in range(6) for j in range(7)], "a string, b string, tokens long")
+    targets = {d: mixing.tempered(cells, d, 0.3) for d in "ab"}
+    one = {(x.a, x.b): x.weight for x in mixing.rake(cells, targets, 1e-9).collect()}
+    monkeypatch.setattr(mixing, "CELLS_A_TASK", 10)
+    assert all(abs(one[x.a, x.b] - x.weight) < 1e-6 for x in mixing.rake(cells, targets, 1e-9).collect())
 
 
 # ---------------------------------------------------------------- 10 PII
