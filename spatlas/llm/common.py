@@ -74,14 +74,14 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, names: np.ndarray = LOWER_NAMES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of several texts, and where each text's words begin (len(offsets) entries).
 
-    ``is_word`` says for each byte value if words hold it. A text longer than a chunk is cut between words."""
+    ``is_word`` says for each byte value if words hold it, ``names`` has a number for it. A text longer than a chunk is cut between words."""
     pieces, counts = [], []
     total = len(data)
     if total <= 2 * CHUNK:
-        return _words(data, offsets, is_word)
+        return _words(data, offsets, is_word, names)
     assert len(offsets) == 2, "a run of several texts is at most a chunk"
     at = 0
     while at < total:
@@ -89,14 +89,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
         while end < total and is_word[data[end - 1]] and is_word[data[end]]:  # not within a word
             gap = np.flatnonzero(~is_word[data[end : end + CHUNK]])
             end = end + int(gap[0]) if len(gap) else min(total, end + CHUNK)
-        hashes, _ = _words(data[at:end], np.array([0, end - at]), is_word)
+        hashes, _ = _words(data[at:end], np.array([0, end - at]), is_word, names)
         pieces.append(hashes)
         counts.append(len(hashes))
         at = end
     return np.concatenate(pieces), np.array([0, sum(counts)])
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if n == 0:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
@@ -111,7 +111,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[
     last[ends] = inside[ends]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last)
     up, down = _pow(n)
-    sums = np.cumsum(LOWER_NAMES[data] * up[:n])
+    sums = np.cumsum(names[data] * up[:n])
     h = sums[stops]
     before = starts > 0
     h[before] -= sums[starts[before] - 1]

@@ -66,8 +66,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents"), confidence=0.8, least_seeds=3, rounds=3)
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+    found = find_pii(table(spark, sf_dir, "documents"), confidence=0.8, least_seeds=3, rounds=20)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_added", "n_found")
 
 
 def queries() -> dict[str, Query]:
