@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatlas.storage import discard, stored
@@ -17,8 +17,8 @@ from spatlas.storage import discard, stored
 DIMENSIONS = ["source", "lang", "topic"]
 #: Word classes that stand for topics where a table names none.
 TOPICS = 8
-#: Cells that a task rakes; more are raked by more tasks, with shuffles between the dimensions.
-CELLS_A_TASK = 200_000
+#: Cells that one task rakes; more are raked by more tasks, with shuffles between the dimensions.
+CELLS_A_TASK, ROUNDS_A_JOB = 200_000, 4
 
 
 def word_count(text: str = "text") -> Column:
@@ -56,50 +56,70 @@ def topic_by_terms(text: Column, terms: dict[str, list[str]]) -> Column:
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
-    """A target marginal: each category's share of tokens to a power, normalised. Under 1 it takes from a hot source."""
-    sums = cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
-    return sums.crossJoin(sums.agg(F.sum("t").alias("all"))).select(dimension, F.coalesce(F.col("t") / F.expr("nullif(all, 0)"), F.lit(0.0)).alias("target"))
+    """A target marginal, up to its scale: each category's tokens to a power. Under 1 it takes from a hot source."""
+    return cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("target"))
 
 
-def _prepared(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """Cells with a number and a target share of their category in each dimension (_id_d, _target_d), and _weight."""
-    for d, target in targets.items():
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("_have"))
-        wanted = sums.join(target.select(F.col(d).alias("_d"), F.col("target").cast("double").alias("_t")), F.col(d).eqNullSafe(F.col("_d")), "left")
-        met = F.when(F.col("_have") > 0, F.col("_t")).otherwise(0.0)
-        whole = sums.join(target.select(F.col(d).alias("_d"), F.col("target").cast("double").alias("_t")), F.col(d).eqNullSafe(F.col("_d"))).agg(F.sum(met).alias("_all"))
-        shares = wanted.crossJoin(whole).select("_d", F.col(d).alias("_c"), F.monotonically_increasing_id().alias(f"_id_{d}"), F.coalesce(met / F.expr("nullif(_all, 0)"), F.lit(0.0)).alias(f"_target_{d}"))
-        cells = cells.join(shares.drop("_d"), F.col(d).eqNullSafe(F.col("_c"))).drop("_c")
-    return cells.withColumn("_weight", F.col("tokens").cast("double"))
+def _shares(cells: DataFrame, dimension: str, target: DataFrame) -> DataFrame:
+    """(_c, _target_d) of every category of the cells: targets of categories with tokens, scaled to sum to 1; 0 for others."""
+    wanted = target.select(F.col(dimension).alias("_d"), F.col("target").cast("double").alias("_t"))
+    sums = cells.groupBy(F.col(dimension).alias("_c")).agg(F.sum("tokens").alias("_n"))
+    met = stored(sums.join(wanted, F.col("_c").eqNullSafe(F.col("_d")), "left").select("_c", F.when(F.col("_n") > 0, F.coalesce("_t", F.lit(0.0))).otherwise(0.0).alias("_t")), "shares")
+    whole = met.agg(F.sum("_t")).first()[0]
+    return met.select("_c", (F.col("_t") / (whole or 1.0)).alias(f"_target_{dimension}"))
+
+
+def _scaled(cells: DataFrame, dimension: str, total: float) -> DataFrame:
+    """Cells with ``_have``, their category's weight, scaled to its target; ``_gap`` is the largest share that had to move in this round."""
+    moved = F.abs(F.col("_have") / total - F.col(f"_target_{dimension}"))
+    weight = F.coalesce(F.col("_weight") * F.col(f"_target_{dimension}") * total / F.expr("nullif(_have, 0)"), F.lit(0.0))
+    return cells.withColumns({"_gap": F.greatest("_gap", moved), "_weight": weight}).drop("_have")
+
+
+def _round(cells: DataFrame, dimensions: list[str], total: float, few: bool) -> DataFrame:
+    """Every dimension once. Few cells are one task's windows, without a shuffle; sums of many are combined, joined and stored by dimension."""
+    cells = cells.withColumn("_gap", F.lit(0.0))
+    for d in dimensions:
+        if few:
+            cells = _scaled(cells.withColumn("_have", F.sum("_weight").over(Window.partitionBy(d))), d, total)
+        else:
+            sums = cells.groupBy(F.col(d).alias("_c")).agg(F.sum("_weight").alias("_have"))
+            last, cells = cells, stored(_scaled(cells.join(sums, F.col(d).eqNullSafe(F.col("_c"))).drop("_c"), d, total), "rake")
+            if hasattr(last, "_stored_at"):
+                discard(last)
+    return cells
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, rounds: int = 200) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``weight``: as tokens, but with the target shares in every dimension.
 
-    A target is (category, target); null is a category. One without target gets weight 0; targets of categories without tokens can't be
-    met and are left out, the others scaled to sum to 1. A round scales the weights to one dimension after the other, and
-    the rounds end when none had to move a share by more than ``tolerance``. Targets that empty cells contradict never get there:
-    after ``rounds`` a warning tells the gap, and only the last dimension's marginal holds exactly. A round is one job over cells;
-    up to 200,000 of them are one task's work without a shuffle. Categories carry numbers, so that rounds join by integers."""
+    A target is (category, target), at any scale; null is a category. One without target gets weight 0; targets of categories without tokens
+    can't be met and are left out. A round scales the weights to one dimension after the other, and the rounds end
+    when none had to move a share by more than ``tolerance``. Targets that empty cells contradict never get there: after ``rounds`` a
+    warning tells the gap, and only the last dimension's marginal holds exactly. Up to 200,000 cells are raked by one task, a few rounds
+    a job; more by as many tasks as they need."""
     own, names = cells.columns, list(targets)
     n, total = cells.agg(F.count("*"), F.sum("tokens").cast("double")).first()
     if not total:
         return cells.withColumn("weight", F.lit(0.0))
-    parts = -(-n // CELLS_A_TASK)
-    raked = stored(_prepared(cells, targets), "rake")
-    for _ in range(rounds):
-        new, moved = raked.coalesce(parts), Observation()
-        for d in names:
-            sums = new.groupBy(f"_id_{d}").agg(F.sum("_weight").alias("_have"))
-            new = new.join(sums.hint("merge") if parts == 1 else sums, f"_id_{d}").withColumn(f"_gap_{d}", F.abs(F.col("_have") / total - F.col(f"_target_{d}")))
-            new = new.withColumn("_weight", F.coalesce(F.col("_weight") * F.col(f"_target_{d}") * total / F.expr("nullif(_have, 0)"), F.lit(0.0))).drop("_have")
-        last, raked = raked, stored(new.observe(moved, F.max(F.greatest(F.lit(0.0), *[F.col(f"_gap_{d}") for d in names])).alias("gap")).select(raked.columns), "rake")
-        discard(last)
-        gap = moved.get["gap"]
+    few = n <= CELLS_A_TASK
+    start = cells
+    for d in names:
+        start = start.join(_shares(cells, d, targets[d]), F.col(d).eqNullSafe(F.col("_c"))).drop("_c")
+    raked, done = stored(start.withColumn("_weight", F.col("tokens").cast("double")), "rake"), 0
+    while True:
+        new = raked.coalesce(1) if few else raked
+        for _ in range(min(ROUNDS_A_JOB, rounds - done) if few else 1):
+            new, done = _round(new.drop("_gap"), names, total, few), done + 1
+        if few:
+            last, new = raked, stored(new, "rake")
+            discard(last)
+        raked, gap = new, new.agg(F.max("_gap")).first()[0]
         if gap <= tolerance:
             break
-    else:
-        warnings.warn(f"after {rounds} rounds shares still move by {gap:.2g}: empty cells contradict the targets", stacklevel=2)
+        if done >= rounds:
+            warnings.warn(f"after {rounds} rounds shares still move by {gap:.2g}: empty cells contradict the targets", stacklevel=2)
+            break
     return raked.select(*own, F.col("_weight").alias("weight"))
 
 
