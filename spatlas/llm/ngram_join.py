@@ -1,15 +1,16 @@
 """Exact n-gram Jaccard join with token-combination prefixes.
 
 Each text is its set of distinct word shingles; equal sets are one node. Tokens are ordered by frequency class, rare first,
-then by hash. Two sets of the wanted similarity share at least k tokens of their prefixes of n - ceil(t n) + k tokens. With
-k = 2, such a pair shares a token of a rare class, which is indexed alone, or two tokens of frequent classes, which are indexed
-as a combination. (A set of over ``ALONE`` tokens has too many combinations, so its frequent tokens are indexed alone;
-sets about that size do both, so that no pair is lost.) Frequency classes come from counts of all tokens in a table of fixed
-size; collisions there change the order alike for every set, hence cost, never results.
+then by hash. Two sets of the wanted similarity share a token of their prefixes of n - ceil(t n) + 1 tokens, and k tokens of the prefixes
+that are k - 1 tokens longer. If the first shared token is of a rare class, it is indexed alone. Otherwise all shared tokens are of frequent
+classes, and of these combinations of two are indexed: the prefix is extended until B + 1 tokens must be shared, tokens are dealt by hash over B
+blocks, and two of the shared ones fall into one block, so only combinations within a block are needed. B grows with the set,
+which keeps them about as many as tokens; a set is indexed for the B of every size that a partner can have. Frequency
+classes come from counts of all tokens in a table of fixed size; collisions there change the order alike for every set, hence cost, never results.
 
 Nodes with a signature in common are candidates. As only connected components are asked for, a first round verifies each
 signature's nodes against one of them; a second verifies each node's likeliest partner in another component, and a third all
-pairs that are left between components. Whole sets are compared.
+pairs that are left between components. A signature's nodes are compared in pairs of blocks of bounded size. Whole sets are verified.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ IS_WORD[[32, *range(9, 14)]] = False
 #: Cells of the frequency table: 2 ** CELL_BITS of two bytes. Fixed, so it can be broadcast.
 CELL_BITS, CHUNK_BITS = 22, 16
 NEED_BITS = 25
-#: Tokens of a set up to which combinations of frequent tokens are indexed.
-ALONE = 320
+#: Nodes of a signature, and bytes of their parity bits, that are compared with as many others in one task.
+BLOCK_NODES, BLOCK_BYTES = 4096, 16 << 20
 #: Pairs that one verifying task compares with one set.
 SALT_EVERY = 1000
 SCANNED = ["doc_id", "uid", "node", "n", "bits", "part", "blob"]
@@ -121,31 +122,54 @@ def _add_parts(table: pa.Table) -> pa.Table:
 
 def _classes(parts: DataFrame) -> np.ndarray:
     """The frequency class of each cell: 0 up to twice the mean load, then one more with each doubling."""
-    counts = np.zeros(1 << CELL_BITS, np.float64)
-    for row in parts.groupBy("part").applyInArrow(_add_parts, "part int, blob binary").collect():  # 2 ** 22 numbers in all
+    counts = np.zeros(1 << CELL_BITS, np.uint32)
+    for row in parts.groupBy("part").applyInArrow(_add_parts, "part int, blob binary").toLocalIterator():  # 2 ** 22 numbers in all
         counts[row.part << CHUNK_BITS : (row.part + 1) << CHUNK_BITS] = np.frombuffer(row.blob, np.uint32)
     usual = 2 * counts.mean() + 16
-    return np.where(counts <= usual, 0, np.floor(np.log2(np.maximum(counts, usual) / usual)) + 1).astype(np.uint8)
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for at in range(0, len(counts), 1 << CHUNK_BITS):  # a part at a time, as the driver's memory is small
+        some = counts[at : at + (1 << CHUNK_BITS)].astype(np.float64)
+        out[at : at + (1 << CHUNK_BITS)] = np.where(some <= usual, 0, np.floor(np.log2(np.maximum(some, usual) / usual)) + 1)
+    return out
+
+
+def blocks_of(n: int) -> int:
+    """Blocks over which the frequent tokens of sets of n are dealt, a power of two."""
+    return 1 << max(0, (n // 16).bit_length() - 1)
+
+
+def _combined(often: np.ndarray, blocks: int) -> np.ndarray:
+    """All combinations of two tokens of one block."""
+    block = often & U64(blocks - 1)
+    order = np.lexsort((often, block))
+    often, block = often[order], block[order]
+    parts = [often[:0]]
+    for gap in range(1, len(often)):
+        same = block[gap:] == block[:-gap]
+        if not same.any():
+            break
+        parts.append(mix(often[:-gap][same] * U64(0x9DDFEA08EB382D69) + mix(often[gap:][same]) + U64(blocks)))
+    return np.concatenate(parts)
 
 
 def signatures(tokens: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
-    """What a set is indexed by: rare tokens of its extended prefix, and combinations of the frequent ones."""
+    """What a set is indexed by: rare tokens of its prefix, and combinations of the frequent ones of its extended prefixes."""
     n = len(tokens)
-    if n < 2:
+    most, shared = 100 * n // percent, least_shared(n, percent)
+    if most < 2:
         return tokens[:0]  # only an equal set could be similar
     level = cells[tokens >> U64(64 - CELL_BITS)]
-    size = min(n, n - least_shared(n, percent) + 2)
     rare = level == 0
-    if rare.sum() >= size:
-        return tokens[rare][:size]
-    order = np.lexsort((tokens, level))[:size]
-    tokens, level = tokens[order], level[order]
-    parts, often = [tokens[level == 0]], np.sort(tokens[level > 0])
-    if n <= ALONE * 5 // 4:
-        a, b = np.triu_indices(len(often), 1)
-        parts.append(mix(often[a] * U64(0x9DDFEA08EB382D69) + mix(often[b])))
-    if n > ALONE * 4 // 5:
-        parts.append(mix(often ^ U64(0xA0761D6478BD642F)))
+    if rare.sum() > n - shared:
+        return tokens[rare][: n - shared + 1]
+    order = np.lexsort((tokens, level))
+    parts, blocks = [tokens[rare]], blocks_of(n)
+    while blocks <= blocks_of(most):
+        reach = order[: n - shared + blocks + 1]
+        parts.append(_combined(tokens[reach][level[reach] > 0], blocks))
+        blocks *= 2
+    if shared < 2:  # a partner may share a single token
+        parts.append(mix(tokens[~rare] ^ U64(0xA0761D6478BD642F)))
     return np.concatenate(parts)
 
 
@@ -229,14 +253,21 @@ def _nearest(pairs: np.ndarray, differ: np.ndarray, total: np.ndarray) -> np.nda
     return pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]]
 
 
-def _group_pairs(node, n, comp, bits, sizes, rows, percent: int, nearest: bool) -> Iterator[np.ndarray]:
-    """Pairs of one group's rows in different components that neither sizes nor parity bits rule out; or of each row outside the
-    largest component, the nearest such.
+def _group_pairs(node, n, comp, bits, sizes, left, right, percent: int, nearest: bool) -> Iterator[np.ndarray]:
+    """Pairs of a row of ``left`` and one of ``right`` (row numbers) in different components that neither sizes nor parity bits rule out; or the nearest
+    such of each row that is compared.
 
-    Rows of the group's largest component are only compared with the others. Sets that may be alike have tables of one size
+    Rows of the largest component are only compared with the others. Sets that may be alike have tables of one size
     or sizes a factor of 2 apart, of which the finer is joined to the coarser."""
-    names, which, counts = np.unique(comp[rows], return_inverse=True, return_counts=True)
-    few = rows[which != counts.argmax()]
+    both = left if left is right else np.concatenate([left, right])
+    names, counts = np.unique(comp[both], return_counts=True)
+    largest = names[counts.argmax()]
+    yield from _few_pairs(node, n, comp, bits, sizes, left[comp[left] != largest], right, percent, nearest)
+    if left is not right:
+        yield from _few_pairs(node, n, comp, bits, sizes, right[comp[right] != largest], left, percent, nearest)
+
+
+def _few_pairs(node, n, comp, bits, sizes, few, rows, percent: int, nearest: bool) -> Iterator[np.ndarray]:
     for size in np.unique(sizes[few]):
         own = few[sizes[few] == size]
         words = _bit_rows(bits, own, int(size))
@@ -267,16 +298,24 @@ def _group_pairs(node, n, comp, bits, sizes, rows, percent: int, nearest: bool)
 
 def _across(percent: int, nearest: bool):
     def across(batches):
-        """Of rows sorted by group: pairs of a group's nodes in different components that may have the similarity."""
+        """Of rows sorted by group and pair of blocks: pairs of nodes in different components that may have the similarity."""
         held = None
 
+        def starts_of(table: pa.Table) -> np.ndarray:
+            grp, x, y = (table.column(c).to_numpy() for c in ("grp", "x", "y"))
+            return np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+
         def pairs_of(table: pa.Table) -> pa.RecordBatch:
-            grp, node, n, comp = (table.column(c).to_numpy() for c in ("grp", "node", "n", "comp"))
+            node, n, comp, own, x, y = (table.column(c).to_numpy() for c in ("node", "n", "comp", "own", "x", "y"))
             bits = table.column("bits").combine_chunks()
             bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
             sizes = pa.compute.binary_length(bits).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1), len(grp)]
-            found = [p for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for p in _group_pairs(node, n, comp, bits, sizes, np.arange(a, b), percent, nearest)]
+            found, cuts = [], [*starts_of(table), table.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rows = np.arange(a, b)
+                left, right = (rows, rows) if x[a] == y[a] else (rows[own[a:b] == x[a]], rows[own[a:b] == y[a]])
+                if b - a > 1 and len(left) and len(right):
+                    found += _group_pairs(node, n, comp, bits, sizes, left, right, percent, nearest)
             pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -285,8 +324,7 @@ def _across(percent: int, nearest: bool):
                 continue
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
-            grp = table.column("grp").to_numpy()
-            last = int(np.searchsorted(grp, grp[-1]))  # the last group may go on in the next batch
+            last = int(starts_of(table)[-1])  # the last pair of blocks may go on in the next batch
             if last:
                 yield pairs_of(table.slice(0, last))
             held = table.slice(last)
@@ -409,7 +447,9 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     100 * shared >= percent * all shingles. Texts without words (null, empty, white space) link with nothing. Rows with equal
     sets are one node whatever their ids, so repeated rows share a component. A null doc_id is never a component's smallest unless
     the component has no other; then component_id is null. ``component`` names the component itself, 0 for texts without words.
-    Other columns aren't read. An empty table gives an empty result."""
+    Other columns aren't read. An empty table gives an empty result. ``percent`` is from 50 to 100."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     spark: SparkSession = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), "text", row_uid().alias("uid"))
     scanned = stored(docs.mapInArrow(_nodes(width), "doc_id long, uid long, node long, n long, bits binary, part int, blob binary"), "join-nodes")
@@ -418,6 +458,7 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     cells = spark.sparkContext.broadcast(_classes(scanned.where("part is not null").select("part", "blob")))
     index = docs.select("text").mapInArrow(_index(width, percent, cells, n_buckets(spark)), "bucket long, blob binary")
     found = stored(index.groupBy("bucket").applyInArrow(_candidates(percent), CANDIDATES), "join-candidates")
+    cells.unpersist()
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), "join-pairs")
     likely = stored(possible(pairs, parity, percent), "join-likely")
     links = stored(verify(docs, likely, width, percent), "join-links")
@@ -427,9 +468,13 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for nearest in (True, False):
         labels = components(links, "join-components")
         labelled = groups.join(labels, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("comp"))
-        split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-        mixed = labelled.join(split, "grp").join(parity.select("node", "bits"), "node").select("grp", "node", "n", "comp", "bits")
-        across = mixed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_across(percent, nearest), "a long, b long").distinct()
+        # parity bits have half a byte a token at most
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / (2 * BLOCK_BYTES))).cast("int").alias("blocks")
+        split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), blocks).where("x <> y").select("grp", "blocks")
+        mixed = labelled.join(split, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+        dealt = mixed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        placed = dealt.join(parity.select("node", "bits"), "node").select("grp", "x", "y", "own", "node", "n", "comp", "bits")
+        across = placed.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(_across(percent, nearest), "a long, b long").distinct()
         rest = stored(across.join(tried, ["a", "b"], "left_anti"), "join-rest")
         links = links.union(stored(verify(docs, rest, width, percent), "join-links"))
         tried = tried.union(rest)

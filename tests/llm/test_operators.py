@@ -242,15 +242,37 @@ def test_ngram_join(spark, monkeypatch, usual):
     r = random.Random(9)
     base = [f"w{r.randrange(300)}" for _ in range(60)]
     near = [(400 + k, " ".join(w if r.random() > 0.03 else f"v{r.randrange(999)}" for w in base)) for k in range(25)]
+    long = [f"l{r.randrange(9000)}" for _ in range(700)]  # longer sets deal their frequent tokens over blocks
+    near += [(600 + k, " ".join(w if r.random() > 0.01 + 0.004 * k else f"v{r.randrange(999)}" for w in long[: 700 - 9 * k])) for k in range(9)]
     rows = [*corpus(), *near, (500, "a b c d"), (501, "A b\tc d"), (502, "a b c"), (503, "a")]
     if usual == 0:
         monkeypatch.setattr(ngram_join, "_classes", lambda parts: np.full(1 << ngram_join.CELL_BITS, 1, np.uint8))
-        monkeypatch.setattr(ngram_join, "ALONE", 60)
+        monkeypatch.setattr(ngram_join, "BLOCK_NODES", 6)  # groups are compared block by block
     got = rows_of(ngram_join.ngram_join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id"))
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 66, 80, 95, 100])
+@pytest.mark.parametrize("often", [0.0, 0.5, 1.0])
+def test_similar_sets_share_a_signature(percent, often):
+    r = np.random.default_rng(5)
+    cells = (r.random(1 << ngram_join.CELL_BITS) < often).astype(np.uint8)
+    for n in [1, 2, 3, 5, 9, 31, 32, 40, 63, 64, 130, 511, 512, 900]:
+        for _ in range(12):
+            m = int(r.integers(n, 100 * n // percent + 1))
+            least = -(-percent * (n + m) // (100 + percent))
+            if least > n:
+                continue
+            x = np.unique(r.integers(0, 2**63, n + m - least, dtype=np.int64).view(np.uint64))
+            own = r.permutation(len(x))
+            a, b = np.sort(x[own[:n]]), np.sort(x[own[n - least :]])
+            assert np.isin(ngram_join.signatures(a, cells, percent), ngram_join.signatures(b, cells, percent)).any() or (a.tolist() == b.tolist())
+            assert len(ngram_join.signatures(a, cells, percent)) <= 12 * n + 60
+
+
 def test_ngram_join_empty(spark):
+    with pytest.raises(ValueError):
+        ngram_join.ngram_join(empty(spark), percent=40)
     assert ngram_join.ngram_join(empty(spark)).count() == 0
 
 
