@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spatlas.llm import license_scan, mixing, ngram_join, pii, quality_rules, suffix_dedup, token_counts, warc, winnowing
+from spatlas.llm import license_scan, line_templates, mixing, ngram_join, pii, quality_rules, suffix_dedup, token_counts, warc, winnowing
 from spatlas.llm.common import components
 from spatlas.llm.line_templates import line_dedup
 
@@ -124,6 +124,55 @@ def test_line_templates(spark):
     assert line_dedup(empty(spark)).count() == 0
 
 
+def brute_lines(rows, min_docs, depth=3, constant_share=0.7, min_tokens=3):
+    """Documents without the lines of recurring templates, where every document counts."""
+    parsed, by_leaf = {}, defaultdict(Counter)
+    for key in set(rows):
+        parsed[key] = [(at, leaf, shape, tokens) for at, line in enumerate((key[1] or "").split("\n")) for leaf, shape, tokens in [line_templates.parse(line, depth)] if len(tokens) >= min_tokens]
+        for leaf, shape, tokens in {(leaf, shape, tuple(tokens)) for _, leaf, shape, tokens in parsed[key]}:
+            by_leaf[leaf][shape, tokens] += 1
+    named = {}
+    for leaf, held in by_leaf.items():
+        support = Counter()
+        for (_, tokens), n in held.items():
+            support.update({(k, t): n for k, t in enumerate(tokens)})
+        for shape, tokens in held:
+            kept = tuple((k, t) for k, t in enumerate(tokens) if support[k, t] >= min_docs)
+            general = len(held) > 1 and sum(held.values()) >= min_docs and len(kept) >= constant_share * len(tokens) and len(kept) > depth
+            named[leaf, shape] = (leaf, kept if general else shape)
+    docs = Counter(t for lines in parsed.values() for t in {named[leaf, shape] for _, leaf, shape, _ in lines})
+    out = []
+    for key in rows:
+        gone = {at for at, leaf, shape, _ in parsed[key] if docs[named[leaf, shape]] >= min_docs}
+        kept = None if key[1] is None else "\n".join(line for at, line in enumerate(key[1].split("\n")) if at not in gone)
+        out.append((key[0], kept, 0 if key[1] is None else key[1].count("\n") + 1, len(gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)]
+    notices = [[r.choice(words) for _ in range(n)] for n in (3, 4, 5, 8, 12, 33, 60) for _ in range(3)]
+
+    def line():
+        if r.random() < 0.4:
+            return " ".join(r.choice(words) for _ in range(r.randint(0, 14)))
+        notice = list(r.choice(notices))
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            notice[r.randrange(len(notice))] = r.choice([r.choice(words), str(r.randrange(99)), f"x{r.randrange(9)}"])
+        return " ".join(notice)
+
+    rows = [(k, "\n".join(line() for _ in range(r.randint(0, 9)))) for k in range(120)]
+    rows += [rows[3], rows[3], (200, None), (201, ""), (None, rows[5][1]), (None, None), (202, "\n" * 3000 + "a b c"), (203, "\n".join(line() for _ in range(3000)))]
+    names = "doc_id long, text string, n_lines int, at int, leaf int"
+    docs = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], names).repartition(3)
+    found = line_dedup(docs, min_docs=6, copied_share=1.0)
+    assert sorted(map(tuple, found.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr) == brute_lines(rows, 6)
+    assert set(found.columns) == {"doc_id", "text", "n_lines", "n_dropped", "uid", "at", "leaf"} and found.where("leaf = 3").count() == len(rows)
+    assert line_dedup(empty(spark)).count() == 0
+
+
 def test_boilerplate_of_short_pages(spark):
     """Boilerplate goes however large its share is; copies, also with changed words, keep their lines."""
     r = random.Random(6)
