@@ -11,23 +11,21 @@ from pyspark.sql import functions as F
 from spatlas.operators.stencil import RasterOperator, queen
 from spatlas.plans import audit, interpret, runners
 from spatlas.sinks import audit_report, write_csv, write_json
-from spatlas.sources.files import read_csv
+from spatlas.sources.files import hashed_files, read_csv
 from spatlas.sources.raster import read_raster, transformed
 
-COMPARISON = "stencil string, inferential long, nodata long, islands long, HH long, LH long, LL long, HL long"
-
-
 def main(args: list[str]) -> int:
     if not args:
         print(__doc__)
         return 1
     spark, job, rest = SparkSession.builder.appName("spatlas").getOrCreate(), args[0], args[1:]
     if job == "audit":
-        columns = [*audit.GRID[:2], *audit.GRID[4:]]
-        found = audit.audit(spark.read.parquet(rest[0]).select(columns), spark.read.parquet(rest[1]).select("cell_id"))
+        grid, daily = spark.read.parquet(rest[0]), spark.read.parquet(rest[1])
+        hashes = {f"{name}_sha256": {r.path.rsplit("/", 1)[-1]: r.sha256 for r in hashed_files(spark, path).collect()} for name, path in (("grid", rest[0]), ("daily", rest[1]))}
+        found = audit.audit(grid.select([c for c in audit.GRID if c in grid.columns]), daily.select("cell_id"), hashes)
         write_json(found, f"{rest[2]}.json")
         audit_report(found, f"{rest[2]}.md")
-        return 0 if found["continuous"] else 2
+        return 0 if found["continuous_national_index"] else 2
     if job in ("observed", "permute"):
         cells = read_raster(spark, rest[0], rest[1], rest[3] if job == "observed" and len(rest) > 3 else "ntl")
         if job == "observed":
@@ -37,7 +35,7 @@ def main(args: list[str]) -> int:
             write_json(runners.raster_global_permutations(operator, int(rest[3]) if len(rest) > 3 else 999), f"{rest[2]}/permutations.json")
         return 0
     if job == "interpret":
-        table = read_csv(spark, rest[0], COMPARISON, order=("stencil", ["rook", "queen", "d2_r2"]))
+        table = read_csv(spark, rest[0], interpret.COMPARISON, order=("stencil", interpret.STENCILS))
         counts = interpret.result_counts(spark.read.parquet(rest[1])).withColumn("stencil", F.lit("queen"))
         fixed = interpret.canonical_comparison(table, counts)
         write_csv(fixed, f"{rest[2]}/comparison")

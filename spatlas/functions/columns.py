@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,13 +46,9 @@ def inferential_mask(valid: Column, island: Column, is_significant: Column, code
     return F.coalesce(valid & ~island & is_significant & code.between(1, 4), F.lit(False))
 
 
-def log1p_scaled(value: Column, scale: float = 1000.0) -> Column:
-    """log(scale * x + 1), which keeps zero."""
-    return F.log1p(value * scale)
-
-
 def _tails(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x is not None and x == x else float("nan"))
+    x = np.abs(z.to_numpy(float)) / math.sqrt(2)
+    return pd.Series(np.frompyfunc(math.erfc, 1, 1)(x).astype(float))
 
 
 def two_sided_p(z: Column | str) -> Column:

@@ -9,12 +9,23 @@ from spatlas.functions import quadrant, quadrant_label, two_sided_p
 from spatlas.operators.lag import spatial_lag
 from spatlas.operators.stencil import RasterOperator
 from spatlas.operators.weights import weight_moments
-from spatlas.schema import ValidationError
+from spatlas.schema import is_finite, require_columns, require_numeric
+
+
+def _checked_sums(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, standard deviation and size of each group. A group that no statistic is defined for fails the plan as it is read: values
+    must be finite, at least two, and not all equal. The check is part of the same aggregation, so it costs no further pass."""
+    x = F.col(value).cast("double")
+    sums = values.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"), F.count("*").alias("_n"), F.count_if(~is_finite(F.col(value))).alias("_bad"), F.min(x).alias("_low"), F.max(x).alias("_high"))
+    fault = F.when(F.col("_bad") > 0, "values are missing, NaN or infinite").when(F.col("_n") < 2, "two values are needed at least").when(F.col("_low") == F.col("_high"), "constant values have no autocorrelation")
+    return sums.withColumn("_mean", F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("_mean"))).drop("_bad", "_low", "_high")
 
 
 def _with_sums(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Values with their group's mean and standard deviation; one row a group, joined back (a small table of groups)."""
-    sums = values.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("_mean"), F.stddev_pop(F.col(value).cast("double")).alias("_sd"), F.count("*").alias("_n"))
+    """Values with their group's checked sums; one row a group, joined back (a small table of groups)."""
+    require_columns(values, ["id", value, *keys], "values")
+    require_numeric(values, value)
+    sums = _checked_sums(values, keys, value)
     return values.join(sums, keys) if keys else values.crossJoin(sums)
 
 
@@ -36,8 +47,7 @@ def moran(edges: DataFrame, values: DataFrame, keys: list[str] | None = None, va
     z = F.col("z")
     sums = lagged.groupBy(*keys).agg(F.sum(z * F.col("lag")).alias("_zl"), F.sum(z * z).alias("_zz"), F.sum(z * z * z * z).alias("_z4"))
     moments = weight_moments(edges, values.select("id").distinct())
-    if moments.where("s0 = 0 OR s0 IS NULL").limit(1).count():
-        raise ValidationError("all weights sum to zero")
+    moments = moments.withColumn("s0", F.when(F.coalesce("s0", F.lit(0.0)) == 0, F.raise_error(F.lit("all weights sum to zero")).cast("double")).otherwise(F.col("s0")))
     both = sums.crossJoin(moments)
     n, s0 = F.col("n").cast("double"), F.col("s0")
     found = both.withColumn("I", n / s0 * F.col("_zl") / F.col("_zz"))
@@ -56,33 +66,17 @@ def moran_local(edges: DataFrame, values: DataFrame, keys: list[str] | None = No
     return lagged.select("id", *keys, "z", F.col("lag").alias("spatial_lag"), local.alias("local_i"), code.alias("quadrant_code"), quadrant_label(code).alias("quadrant"))
 
 
-def panel_index(values: DataFrame, variables: list[str], periods: list | None = None) -> DataFrame:
-    """Panel rows with the seed offset of their variable and period: variable index * periods + period index."""
-    variable = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("variable")) - 1
-    if periods is None:
-        return values.withColumn("series", variable)
-    period = F.array_position(F.array(*[F.lit(p) for p in periods]), F.col("period")) - 1
-    return values.withColumn("series", variable * len(periods) + period)
-
-
 # ---------------------------------------------------------------- rasters
 def raster_components(operator: RasterOperator, value: str = "value") -> DataFrame:
     """Cells with z (population scale over valid cells) and its lag: what global and local statistics share."""
     keys = operator.keys
     valid = operator.cells.where("valid")
-    sums = valid.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("_mean"), F.stddev_pop(F.col(value).cast("double")).alias("_sd"), F.count("*").alias("_n"))
+    sums = _checked_sums(valid, keys, value)
     cells = operator.cells.join(sums, keys) if keys else operator.cells.crossJoin(sums)
     z = F.when(F.col("valid"), (F.col(value).cast("double") - F.col("_mean")) / F.col("_sd"))
     return RasterOperator(cells.withColumn("z", z), operator.stencil, operator.normalization, tuple(keys)).apply("z")
 
 
-def check_raster(operator: RasterOperator, value: str = "value") -> None:
-    """Two valid cells at least, none of them NaN, not all equal."""
-    x = F.col(value).cast("double")
-    for row in operator.cells.where("valid").groupBy(*operator.keys).agg(F.count("*").alias("n"), F.count_if(x.isNull() | F.isnan(x)).alias("bad"), F.stddev_pop(x).alias("sd")).where("n < 2 OR bad > 0 OR sd = 0").limit(1).collect():
-        raise ValidationError(f"a raster needs two valid cells, no NaN among them, and a variance: {row.asDict()}")
-
-
 def _global(components: DataFrame, operator: RasterOperator) -> DataFrame:
     weight = F.when(F.col("raw_weight") > 0, 1.0).otherwise(0.0) if operator.normalization == "row" else F.col("raw_weight")
     z = F.col("z")

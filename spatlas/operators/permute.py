@@ -1,25 +1,34 @@
-"""Permutation inference with randomness that doesn't depend on the cluster: every draw is the md5 of seed, replicate and item.
+"""Permutation inference with randomness that doesn't depend on the cluster: every draw is a keyed bijection of seed, series, replicate
+and place (``functions.bijection``), so nothing is sorted and a rerun on any layout gives the same replicates.
 
-Values carry dense positions ``pos`` from 0 (``storage.with_positions``), edges join positions."""
+Values carry dense positions ``pos`` from 0 (``storage.with_positions``) within their ``series``, edges join positions. A series shuffles under
+seed + series. Tasks simulate with NumPy over Arrow batches while the values fit a broadcast of known size; larger
+tables meet their draws by joins, with equal results."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spatlas.functions import cluster_label, hashed_int, significant
+from spatlas.functions import cluster_label, significant
+from spatlas.functions.bijection import bijection, inverse, key
 from spatlas.operators.fdr import adjust_pvalues
 from spatlas.schema import ValidationError, require_permutations
-from spatlas.storage import stored
+from spatlas.storage import stored, with_positions
 
-#: Bytes of draws up to which they are broadcast; beyond it, the join is left to the optimizer.
+#: Bytes of values or draws up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Values up to which independent draws are offered: each task needs them all.
-INDEPENDENT_LIMIT = 20_000_000
-#: Neighbours up to which a simulated lag is one compiled expression.
-UNROLLED = 32
+#: Edges that a task gathers before it simulates, and elements of one NumPy step.
+EDGES, ELEMENTS = 1 << 18, 1 << 18
+#: Simulated local statistics within this of the observed one tie with it, whatever the order of their sums.
+TIE = 5e-11
+#: Terms of a global statistic are integers of this many bits, so that their sums are the same in any order.
+TERM_BITS = 40
 
 
 def directed_p(at_least: Column, permutations: int) -> Column:
@@ -31,145 +40,319 @@ def _z_sim(observed: Column, mean: Column, std: Column) -> Column:
     return F.when(std > 0, (observed - mean) / std).otherwise(float("nan"))
 
 
+# ---------------------------------------------------------------- values
+def _sizes(values: DataFrame) -> dict[int, int]:
+    """Values by series: a row for each variable and period."""
+    return {r.series: r.n for r in values.groupBy("series").agg(F.count("*").alias("n")).collect()}
+
+
+def _dense(values: DataFrame, sizes: dict[int, int], column: str) -> dict[int, np.ndarray]:
+    """The values of each series by position; the caller has checked their size."""
+    table = values.select("series", "pos", F.col(column).cast("double").alias("x")).toArrow()
+    series, pos, x = (table.column(c).to_numpy() for c in ("series", "pos", "x"))
+    out = {s: np.zeros(n) for s, n in sizes.items()}
+    for s in out:
+        out[s][pos[series == s]] = x[series == s]
+    return out
+
+
+# ---------------------------------------------------------------- global
+def _power_of_two(bits: int, bound: float) -> float:
+    """A factor that takes numbers of up to ``bound`` to integers of at most ``bits`` bits."""
+    return 2.0 ** (bits - int(np.ceil(np.log2(bound)))) if bound > 0 else 1.0
+
+
+def _cross(shared, permutations: int, seed: int):
+    def terms(i, j, w):
+        """(series, replicate, sum of terms) of some edges; replicate -1 is the observed order."""
+        values, scales = shared.value
+        places, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        at_i, at_j = at[: len(i)], at[len(i) :]
+        step = max(1, ELEMENTS // max(len(i), len(places)))
+        for s, z in values.items():
+            for first in range(-1, permutations, step):
+                reps = np.arange(first, min(permutations, first + step))
+                source = bijection(places[None, :], key(seed + s, np.maximum(reps, 0))[:, None], len(z))
+                source[reps < 0] = places
+                moved = z[source]
+                sums = np.rint(w * moved[:, at_i] * moved[:, at_j] * scales[s]).astype(np.int64).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), s, np.int32)), pa.array(reps.astype(np.int32)), pa.array(sums)], names=["series", "rep", "q"])
+
+    def scan(batches):
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += len(batch)
+            if n >= EDGES:
+                yield from terms(*(np.concatenate([b.column(c).to_numpy() for b in waiting]) for c in "ijw"))
+                waiting, n = [], 0
+        if n:
+            yield from terms(*(np.concatenate([b.column(c).to_numpy() for b in waiting]) for c in "ijw"))
+
+    return scan
+
+
+def _scattered(sizes: dict[int, int], permutations: int, seed: int):
+    def scan(batches):
+        for batch in batches:
+            series, pos, z = (batch.column(c).to_numpy() for c in ("series", "pos", "z"))
+            for s in np.unique(series):
+                own = series == s
+                for rep in range(permutations):
+                    to = inverse(pos[own], key(seed + int(s), rep), sizes[int(s)])
+                    yield pa.RecordBatch.from_arrays([pa.array(series[own]), pa.array(np.full(own.sum(), rep, np.int32)), pa.array(to), pa.array(z[own])], names=["series", "rep", "pos", "z"])
+
+    return scan
+
+
 def permuted(values: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """(rep, pos, z): the values of each replicate at their new positions. A replicate is sorted by itself."""
-    reps = values.sparkSession.range(permutations).select((F.col("id")).alias("rep"))
-    keyed = values.select("pos", "z").crossJoin(F.broadcast(reps)).withColumn("_k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("pos").cast("string")).cast("binary")))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("_k", "pos")) - 1
-    return keyed.select("rep", rank.cast("long").alias("pos"), "z")
+    """(series, rep, pos, z): the values of each replicate at their new positions. A narrow step."""
+    return values.select(F.col("series").cast("int"), "pos", "z").mapInArrow(_scattered(_sizes(values), permutations, seed), "series int, rep int, pos long, z double")
 
 
-def simulate_global(edges: DataFrame, values: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """(rep, sim): Moran's I of every replicate. ``values`` has pos and z, centred; both sums of squares stay as they are."""
-    require_permutations(permutations, seed)
-    shuffled = permuted(values, permutations, seed)
-    a, b = shuffled.select("rep", F.col("pos").alias("i"), F.col("z").alias("zi")), shuffled.select("rep", F.col("pos").alias("j"), F.col("z").alias("zj"))
-    cross = edges.join(a, "i").join(b, ["rep", "j"]).groupBy("rep").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("_zl"))
-    scale = values.agg((F.count("*") / F.sum(F.col("z") * F.col("z"))).alias("_a")).crossJoin(edges.agg(F.sum("w").alias("_s0")))
-    return cross.crossJoin(scale).select("rep", (F.col("_a") / F.col("_s0") * F.col("_zl")).alias("sim"))
+def _joined_terms(edges: DataFrame, z: DataFrame, scales: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """As ``_cross``, by joins of edges and permuted values."""
+    every = permuted(z, permutations, seed).union(z.select("series", F.lit(-1).alias("rep"), "pos", "z"))
+    a, b = (every.select("series", "rep", F.col("pos").alias(c), F.col("z").alias(f"z{c}")) for c in "ij")
+    term = F.rint(F.col("w") * F.col("zi") * F.col("zj") * F.col("scale"))
+    return edges.join(a, "i").join(b, ["series", "rep", "j"]).join(F.broadcast(scales), "series").select("series", "rep", term.cast("decimal(38,0)").alias("q"))
 
 
-def summarize(simulations: DataFrame, observed: DataFrame, permutations: int, keys: list[str] | None = None) -> DataFrame:
-    """One row (a group): observed, p_sim, EI_sim, seI_sim (population), min_sim, max_sim, z_sim."""
-    keys = keys or []
-    both = simulations.join(observed, keys) if keys else simulations.crossJoin(observed)
-    sums = both.groupBy(*keys).agg(F.first("observed").alias("observed"), F.count_if(F.col("sim") >= F.col("observed")).alias("n_at_least"), F.avg("sim").alias("EI_sim"), F.stddev_pop("sim").alias("seI_sim"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"))
-    return sums.withColumn("p_sim", directed_p(F.col("n_at_least"), permutations)).withColumn("z_sim", _z_sim(F.col("observed"), F.col("EI_sim"), F.col("seI_sim")))
+def _exact_sum(x: Column, factor: Column | float) -> Column:
+    """A sum that is the same in any order: of integers, at a power of two that is the same in all rows of a group."""
+    return F.sum(F.rint(x * factor).cast("decimal(38,0)")).cast("double") / (F.first(factor) if isinstance(factor, Column) else factor)
+
+
+def simulate_global(edges: DataFrame, values: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(series, rep, sim): Moran's I of every replicate of ``values`` (series, pos, value); rep -1 is the observed one. Stored.
+
+    Terms are summed as integers of at most 40 bits, relative to the largest possible one, so no sum depends on its order."""
+    require_permutations(permutations, seed)
+    spark, sizes = values.sparkSession, _sizes(values)
+    weight = edges.agg(F.max(F.abs("w"))).first()[0] or 0.0
+    fits = sum(sizes.values()) * 8 <= BROADCAST_BYTES
+    if fits:
+        z = {s: x - x.mean() for s, x in _dense(values, sizes, "value").items()}
+        known = [(s, float(np.abs(x).max()), float((x * x).sum())) for s, x in z.items()]
+    else:
+        top = values.groupBy("series").agg(F.max(F.abs(F.col("value").cast("double"))).alias("top"), F.count("*").alias("n"))
+        factor = F.pow(F.lit(2.0), 52 - F.ceil(F.log2(F.nullif(F.col("top"), F.lit(0.0)))))
+        means = values.join(F.broadcast(top), "series").groupBy("series").agg((_exact_sum(F.col("value"), factor) / F.count("*")).alias("mean"))
+        z = stored(values.join(F.broadcast(means), "series").select(F.col("series").cast("int"), "pos", (F.col("value").cast("double") - F.col("mean")).alias("z")), "centred")
+        tops = {r.series: r.top for r in z.groupBy("series").agg(F.max(F.abs("z")).alias("top")).collect()}
+        at = F.element_at(F.create_map(*[F.lit(x) for s, t in tops.items() for x in (s, _power_of_two(TERM_BITS, t * t))]), F.col("series"))
+        known = [(r.series, tops[r.series], r.zz) for r in z.groupBy("series").agg(_exact_sum(F.col("z") * F.col("z"), at).alias("zz")).collect()]
+    if any(t == 0 for _, t, _ in known):
+        raise ValidationError("constant values have no autocorrelation")
+    scales = {s: _power_of_two(TERM_BITS, top * top * weight) for s, top, _ in known}
+    if fits:
+        shared = spark.sparkContext.broadcast((z, scales))
+        # ranges of focal places: a task's edges touch few places beside its own
+        ranged = edges.select("i", "j", "w").repartitionByRange(2 * spark.sparkContext.defaultParallelism, "i")
+        parts = ranged.mapInArrow(_cross(shared, permutations, seed), "series int, rep int, q long")
+    else:
+        parts = _joined_terms(edges, z, spark.createDataFrame(list(scales.items()), "series int, scale double"), permutations, seed)
+    s0 = edges.agg(_exact_sum(F.col("w"), _power_of_two(TERM_BITS, weight)).alias("s0")).first().s0
+    if not s0:
+        raise ValidationError("all weights sum to zero")
+    constants = spark.createDataFrame([(s, sizes[s] / (s0 * zz * scales[s])) for s, _, zz in known], "series int, c double")
+    sums = parts.groupBy("series", "rep").agg(F.sum(F.col("q").cast("decimal(38,0)")).cast("double").alias("q"))
+    found = stored(sums.join(F.broadcast(constants), "series").select("series", "rep", (F.col("q") * F.col("c")).alias("sim")), "simulations")
+    if fits:
+        shared.unpersist()
+    return found
+
+
+def summarize(simulations: DataFrame, permutations: int) -> DataFrame:
+    """One row a series: observed, n_at_least, p_sim, EI_sim, seI_sim (population), min_sim, max_sim, z_sim. A series' replicates are
+    one array, summed in order."""
+    sims = simulations.where("rep >= 0").groupBy("series").agg(F.sort_array(F.collect_list("sim")).alias("sims"))
+    both = simulations.where("rep = -1").select("series", F.col("sim").alias("observed")).join(sims, "series")
+    mean = F.aggregate("sims", F.lit(0.0), lambda a, x: a + x) / permutations
+    std = F.sqrt(F.aggregate("sims", F.lit(0.0), lambda a, x: a + (x - F.col("EI_sim")) * (x - F.col("EI_sim"))) / permutations)
+    found = both.withColumn("EI_sim", mean).withColumn("seI_sim", std).withColumn("n_at_least", F.size(F.filter("sims", lambda x: x >= F.col("observed"))).cast("long"))
+    found = found.withColumns({"p_sim": directed_p(F.col("n_at_least"), permutations), "min_sim": F.array_min("sims"), "max_sim": F.array_max("sims")})
+    return found.withColumn("z_sim", _z_sim(F.col("observed"), F.col("EI_sim"), F.col("seI_sim"))).drop("sims")
 
 
 def global_permutations(edges: DataFrame, values: DataFrame, permutations: int = 999, seed: int = 12345) -> DataFrame:
-    centred = values.crossJoin(values.agg(F.avg("value").alias("_m"))).select("pos", (F.col("value").cast("double") - F.col("_m")).alias("z"))
-    zi, zj = (centred.select(F.col("pos").alias(c), F.col("z").alias(f"z{c}")) for c in "ij")
-    cross = edges.join(zi, "i").join(zj, "j").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("_zl"), F.sum("w").alias("_s0"))
-    own = centred.agg((F.count("*") / F.sum(F.col("z") * F.col("z"))).alias("_a"))
-    observed = cross.crossJoin(own).select((F.col("_a") / F.col("_s0") * F.col("_zl")).alias("observed"))
-    return summarize(simulate_global(edges, centred, permutations, seed), observed, permutations)
+    """One row; ``values`` has pos and value."""
+    return summarize(simulate_global(edges, values.withColumn("series", F.lit(0)), permutations, seed), permutations).drop("series")
 
 
 def panel_permutations(edges: DataFrame, values: DataFrame, permutations: int = 999, seed: int = 12345) -> DataFrame:
-    """One row a ``series`` of ``values`` (series, pos, value), which shuffles under seed + series; one plan for all series.
+    """One row a ``series`` of ``values`` (series, pos, value); one plan for all series."""
+    return summarize(simulate_global(edges, values, permutations, seed), permutations)
+
+
+# ---------------------------------------------------------------- local
+FOUND = {"n_at_least": "long", "_sum": "double", "_squares": "double", "min_sim": "double", "max_sim": "double"}
 
-    A place carries its values of all replicates, the observed one first, so an edge is joined once a series."""
-    require_permutations(permutations, seed)
-    z = values.join(values.groupBy("series").agg(F.avg("value").alias("_m")), "series").select("series", "pos", (F.col("value").cast("double") - F.col("_m")).alias("z"))
-    reps = values.sparkSession.range(permutations).select(F.col("id").alias("rep"))
-    keyed = z.crossJoin(F.broadcast(reps)).withColumn("_k", F.md5(F.concat_ws(":", (F.lit(seed) + F.col("series")).cast("string"), F.col("rep").cast("string"), F.col("pos").cast("string")).cast("binary")))
-    rank = F.row_number().over(Window.partitionBy("series", "rep").orderBy("_k", "pos")) - 1
-    every = keyed.select("series", "rep", rank.cast("long").alias("pos"), "z").union(z.select("series", F.lit(-1).cast("long").alias("rep"), "pos", "z"))
-    packed = stored(every.groupBy("series", "pos").agg(F.sort_array(F.collect_list(F.struct("rep", "z"))).alias("d")).select("series", "pos", F.col("d.z").alias("z")), "panel-draws")
-    a, b = (packed.select("series", F.col("pos").alias(c), F.col("z").alias(f"z{c}")) for c in "ij")
-    terms = edges.join(a, "i").join(b, ["series", "j"]).select("series", "w", F.posexplode(F.zip_with("zi", "zj", lambda x, y: x * y)).alias("at", "zz"))
-    scale = z.groupBy("series").agg((F.count("*") / F.sum(F.col("z") * F.col("z"))).alias("_a")).crossJoin(edges.agg(F.sum("w").alias("_s0")))
-    sims = stored(terms.groupBy("series", "at").agg(F.sum(F.col("w") * F.col("zz")).alias("_zl")).join(scale, "series").select("series", "at", (F.col("_a") / F.col("_s0") * F.col("_zl")).alias("sim")), "panel-simulations")
-    return summarize(sims.where("at > 0"), sims.where("at = 0").select("series", F.col("sim").alias("observed")), permutations, ["series"])
-
-
-def shared_draws(values: DataFrame, card: int, permutations: int, seed: int) -> DataFrame:
-    """A row for each replicate: ``h`` (card distinct positions among n - 1), and the values ``lo`` at h and ``hi`` at h + 1, by slot.
-
-    A focal position i reads hi where h >= i and lo otherwise, which is a draw from all positions but its own."""
-    spark, n = values.sparkSession, values.count()
-    if card > n - 1:
-        raise ValidationError(f"a cell has {card} neighbours, but only {n - 1} other values can be drawn")
-    tries = 2 * card + 8
-    drawn = spark.range(permutations).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
-    drawn = drawn.withColumn("h", hashed_int(F.lit(seed), F.col("rep"), F.col("t")) % F.lit(n - 1)).groupBy("rep", "h").agg(F.min("t").alias("t"))
-    slotted = drawn.withColumn("slot", F.row_number().over(Window.partitionBy("rep").orderBy("t"))).where(F.col("slot") <= card)
-    if n - 1 <= 4 * tries:  # so few others that candidates may run out: those replicates rank all of them
-        short = slotted.groupBy("rep").agg(F.count("*").alias("c")).where(F.col("c") < card).select("rep")
-        every = short.select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 2))).alias("h")).withColumn("t", hashed_int(F.lit(seed), F.col("rep"), F.lit("all"), F.col("h")))
-        ranked = every.withColumn("slot", F.row_number().over(Window.partitionBy("rep").orderBy("t", "h"))).where(F.col("slot") <= card)
-        slotted = slotted.join(short, "rep", "left_anti").select("rep", "slot", "h").union(ranked.select("rep", "slot", F.col("h").cast("long")))
-    z = values.select("pos", "z")
-    low = slotted.select("rep", "slot", "h").join(z.select(F.col("pos").alias("h"), F.col("z").alias("lo")), "h")
-    both = low.join(z.select((F.col("pos") - 1).alias("h"), F.col("z").alias("hi")), "h")
-    ordered = F.sort_array(F.collect_list(F.struct("slot", "h", "lo", "hi")))
-    return both.groupBy("rep").agg(ordered.alias("d")).select("rep", F.col("d.h").alias("h"), F.col("d.lo").alias("lo"), F.col("d.hi").alias("hi"))
-
-
-def _simulated_lag(card: int) -> Column:
-    if card <= UNROLLED:
-        terms = [F.col("weights")[s] * F.when(F.col("h")[s] >= F.col("pos"), F.col("hi")[s]).otherwise(F.col("lo")[s]) for s in range(card)]
-        return sum(terms[1:], terms[0])
-    return F.expr("aggregate(zip_with(sequence(0, size(weights) - 1), weights, (s, w) -> w * IF(h[s] >= pos, hi[s], lo[s])), 0D, (a, x) -> a + x)")
+
+def _local_step(simulate, card: int, column_names: list[str]):
+    """Adds what ``simulate(series, pos, z, weights, own, first row)`` gives, an array of replicates by row, to the columns found so far."""
+
+    def scan(batches):
+        for batch in batches:
+            series, pos, z, own, obs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("series", "pos", "z", "own", "obs"))
+            weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False).reshape(len(pos), card)
+            found = {c: np.array(batch.column(c).to_numpy(zero_copy_only=False)) for c in FOUND}
+            for s in np.unique(series):
+                rows = np.flatnonzero(series == s)
+                for at, lags, scaling in simulate(int(s), pos[rows], weights[rows]):
+                    r = rows[at]
+                    sims = scaling * z[r, None] * (lags + own[r, None] * z[r, None])
+                    found["n_at_least"][r] += (sims >= obs[r, None] - TIE).sum(1)
+                    found["_sum"][r] += sims.sum(1)
+                    found["_squares"][r] += (sims * sims).sum(1)
+                    found["min_sim"][r] = np.minimum(found["min_sim"][r], sims.min(1))
+                    found["max_sim"][r] = np.maximum(found["max_sim"][r], sims.max(1))
+            yield pa.RecordBatch.from_arrays([pa.array(found[c]) if c in found else batch.column(c) for c in column_names], names=column_names)
+
+    return scan
+
+
+def _blank(cells: DataFrame) -> DataFrame:
+    start = {"n_at_least": 0, "_sum": 0.0, "_squares": 0.0, "min_sim": float("inf"), "max_sim": float("-inf")}
+    return cells.withColumns({c: F.lit(v).cast(FOUND[c]) for c, v in start.items()})
+
+
+def _finished(cells: DataFrame, permutations: int) -> DataFrame:
+    out = cells.withColumn("p_sim", directed_p(F.col("n_at_least"), permutations)).withColumn("permutation_mean", F.col("_sum") / permutations)
+    variance = F.greatest(F.lit(0.0), F.col("_squares") / permutations - F.col("permutation_mean") * F.col("permutation_mean"))
+    return out.withColumn("permutation_std", F.sqrt(variance)).withColumn("z_sim", _z_sim(F.col("obs"), F.col("permutation_mean"), F.col("permutation_std"))).drop("_sum", "_squares")
+
+
+def _checked_sizes(values: DataFrame, card: int) -> dict[int, int]:
+    sizes = _sizes(values)
+    if card > min(sizes.values()) - 1:
+        raise ValidationError(f"a cell has {card} neighbours, but only {min(sizes.values()) - 1} other values can be drawn")
+    return sizes
+
+
+def shared_draws(values: DataFrame, card: int, reps: range, seed: int, sizes: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By series: ``h`` (a row a replicate: card distinct positions among n - 1), and the values at h and at h + 1.
+
+    A focal position i reads the value at h + 1 where h >= i and at h otherwise, which is a draw from all positions but its own."""
+    h = {s: bijection(np.arange(card)[None, :], key(seed + s, np.arange(reps.start, reps.stop))[:, None], n - 1) for s, n in sizes.items()}
+    places = {s: np.unique(np.concatenate([x, x + 1])) for s, x in h.items()}
+    wanted = pa.table({"series": np.concatenate([np.full(len(p), s, np.int32) for s, p in places.items()]), "pos": np.concatenate(list(places.values()))})
+    found = values.select(F.col("series").cast("int"), "pos", "z").join(F.broadcast(values.sparkSession.createDataFrame(wanted)), ["series", "pos"]).toArrow().sort_by([("series", "ascending"), ("pos", "ascending")])
+    series, z = found.column("series").to_numpy(), found.column("z").to_numpy()
+    at = {s: (z[series == s], places[s]) for s in places}
+    return {s: (x, *(v[np.searchsorted(p, x + k)] for k in (0, 1))) for s, x in h.items() for v, p in [at[s]]}
+
+
+def _conditional(shared, sizes: dict[int, int]):
+    def simulate(s, pos, weights):
+        h, low, high = shared.value[s]
+        step = max(1, ELEMENTS // len(h))
+        for first in range(0, len(pos), step):
+            at = slice(first, first + step)
+            lags = np.zeros((len(pos[at]), len(h)))
+            for k in range(h.shape[1]):
+                lags += weights[at, k, None] * np.where(h[None, :, k] >= pos[at, None], high[None, :, k], low[None, :, k])
+            yield np.arange(len(pos))[at], lags, (sizes[s] - 1) / sizes[s]
+
+    return simulate
 
 
 def local_conditional(cells: DataFrame, values: DataFrame, card: int, permutations: int = 999, seed: int = 12345) -> DataFrame:
-    """``cells`` (pos, z, weights by slot padded to ``card``, own: the diagonal weight) with obs, n_at_least, p_sim, permutation_mean,
-    permutation_std, z_sim. ``values`` (pos, z) are what is drawn from; z is standardized, so obs = (n - 1) / n * z * lag.
+    """``cells`` (series, pos, z, weights by slot padded to ``card``, own: the diagonal weight, obs) with n_at_least, p_sim, permutation_mean,
+    permutation_std, min_sim, max_sim, z_sim. ``values`` (series, pos, z) are what is drawn from; z is standardized, so obs = (n - 1) / n * z * lag.
 
-    All focal cells of a replicate share its draw; simulating is a narrow step over the cells, and one partial aggregation ends it."""
+    All focal cells of a replicate share its draw. Simulating is a narrow step over the cells, for as many replicates at once as
+    their draws fit a broadcast."""
     require_permutations(permutations, seed)
-    n = values.count()
-    scaling = float(n - 1) / n
-    draws = shared_draws(values, card, permutations, seed)
-    if permutations * card * 24 <= BROADCAST_BYTES:
-        draws = F.broadcast(draws)
-    sim = F.lit(scaling) * F.col("z") * (_simulated_lag(card) + F.col("own") * F.col("z"))
-    keep = cells.columns
-    runs = cells.crossJoin(draws).select(*keep, sim.alias("sim"))
-    sums = runs.groupBy("pos").agg(F.count_if(F.col("sim") >= F.col("obs")).alias("n_at_least"), F.avg("sim").alias("permutation_mean"), F.stddev_pop("sim").alias("permutation_std"))
-    out = cells.join(sums, "pos").withColumn("p_sim", directed_p(F.col("n_at_least"), permutations))
-    return out.withColumn("z_sim", _z_sim(F.col("obs"), F.col("permutation_mean"), F.col("permutation_std")))
-
-
-def _independent(values, permutations: int, seed: int, scaling: float):
-    def simulate(batches):
-        z_all = values.value
-        n = len(z_all)
-        for batch in batches:
-            pos, z, obs = (batch.column(c).to_numpy() for c in ("pos", "z", "obs"))
-            weights = np.array(batch.column("weights").to_pylist(), float).reshape(len(pos), -1)
-            g, mean, std = np.zeros(len(pos), np.int64), np.zeros(len(pos)), np.zeros(len(pos))
-            card = weights.shape[1]
-            for k, i in enumerate(pos):
-                random = np.random.Generator(np.random.Philox(key=[seed, int(i)]))
-                h = random.integers(0, n - 1, (permutations, card))
-                for s in range(1, card):  # drawn again until no slot repeats an earlier one
-                    while (twice := (h[:, s : s + 1] == h[:, :s]).any(1)).any():
-                        h[twice, s] = random.integers(0, n - 1, int(twice.sum()))
-                sims = scaling * z[k] * (z_all[h + (h >= i)] @ weights[k])
-                g[k], mean[k], std[k] = (sims >= obs[k]).sum(), sims.mean(), sims.std()
-            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(g), pa.array(mean), pa.array(std)], names=["pos", "n_at_least", "permutation_mean", "permutation_std"])
+    sizes = _checked_sizes(values, card)
+    spark, out = values.sparkSession, _blank(cells)
+    step = max(1, BROADCAST_BYTES // (24 * max(card, 1) * len(sizes)))
+    for first in range(0, permutations, step):
+        shared = spark.sparkContext.broadcast(shared_draws(values, card, range(first, min(permutations, first + step)), seed, sizes))
+        out = out.mapInArrow(_local_step(_conditional(shared, sizes), card, out.columns), out.schema)
+    return _finished(out, permutations)
+
+
+def _own_draws(s: int, pos, card: int, reps, seed: int, n: int) -> np.ndarray:
+    """(cell, replicate, slot): distinct positions other than the cell's own."""
+    keys = key(seed + s, reps[None, :], pos[:, None])
+    h = bijection(np.arange(card)[None, None, :], keys[:, :, None], n - 1)
+    return h + (h >= pos[:, None, None])
+
+
+def _independent(shared, sizes: dict[int, int], permutations: int, seed: int):
+    def simulate(s, pos, weights):
+        z, card = shared.value[s], weights.shape[1]
+        step = max(1, ELEMENTS // (permutations * max(card, 1)))
+        for first in range(0, len(pos), step):
+            at = slice(first, first + step)
+            drawn = z[_own_draws(s, pos[at], card, np.arange(permutations), seed, sizes[s])]
+            lags = np.zeros(drawn.shape[:2])
+            for k in range(card):
+                lags += weights[at, k, None] * drawn[:, :, k]
+            yield np.arange(len(pos))[at], lags, (sizes[s] - 1) / sizes[s]
 
     return simulate
 
 
+def _wanted(sizes: dict[int, int], card: int, permutations: int, seed: int):
+    """(series, pos, rep, slot, w, draw) of the slots with a weight."""
+
+    def scan(batches):
+        for batch in batches:
+            series, pos = (batch.column(c).to_numpy() for c in ("series", "pos"))
+            weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False).reshape(len(pos), card)
+            step = max(1, ELEMENTS // max(card, 1))
+            for s in np.unique(series):
+                rows = np.flatnonzero(series == s)
+                for row in rows:  # a cell's draws may be many
+                    for first in range(0, permutations, step):
+                        reps = np.arange(first, min(permutations, first + step))
+                        drawn = _own_draws(int(s), pos[row : row + 1], card, reps, seed, sizes[int(s)])[0]
+                        slots = np.flatnonzero(weights[row])
+                        n = len(reps) * len(slots)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, s, np.int32)), pa.array(np.full(n, pos[row])), pa.array(np.repeat(reps, len(slots)).astype(np.int32)), pa.array(np.tile(slots, len(reps)).astype(np.int32)), pa.array(np.tile(weights[row, slots], len(reps))), pa.array(drawn[:, slots].ravel())],
+                            names=["series", "pos", "rep", "slot", "w", "draw"],
+                        )
+
+    return scan
+
+
+def _independent_joined(cells: DataFrame, values: DataFrame, sizes: dict[int, int], card: int, permutations: int, seed: int) -> DataFrame:
+    """As the narrow step, for more values than tasks can hold: drawn positions meet the values in a join. A cell that has no neighbour simulates its own weight alone."""
+    drawn = cells.select(F.col("series").cast("int"), "pos", "weights").mapInArrow(_wanted(sizes, card, permutations, seed), "series int, pos long, rep int, slot int, w double, draw long")
+    met = drawn.join(values.select(F.col("series").cast("int"), F.col("pos").alias("draw"), F.col("z").alias("x")), ["series", "draw"])
+    in_order = F.sort_array(F.collect_list(F.struct("slot", (F.col("w") * F.col("x")).alias("t"))))
+    lags = met.groupBy("series", "pos", "rep").agg(F.aggregate(in_order, F.lit(0.0), lambda a, t: a + t["t"]).alias("_lag"))
+    scaling = reduce(lambda a, s: a.when(F.col("series") == s, (sizes[s] - 1) / sizes[s]), sizes, F.when(F.lit(False), 0.0))
+    plain = [c for c in cells.columns]
+    sims = cells.join(lags, ["series", "pos"], "left").withColumn("_s", scaling * F.col("z") * (F.coalesce("_lag", F.lit(0.0)) + F.col("own") * F.col("z")))
+    alone = F.when(F.first("_lag").isNull(), permutations).otherwise(1)
+    sums = sims.groupBy("series", "pos").agg(
+        (F.count_if(F.col("_s") >= F.col("obs") - TIE) * alone).alias("n_at_least"), (F.sum("_s") * alone).alias("_sum"), (F.sum(F.col("_s") * F.col("_s")) * alone).alias("_squares"), F.min("_s").alias("min_sim"), F.max("_s").alias("max_sim")
+    )
+    return cells.join(sums, ["series", "pos"]).select(*plain, *FOUND)
+
+
 def local_independent(cells: DataFrame, values: DataFrame, card: int, permutations: int = 999, seed: int = 12345) -> DataFrame:
-    """As ``local_conditional``, but each focal cell draws for itself (a counter-based generator keyed by seed and cell)."""
+    """As ``local_conditional``, but each focal cell draws for itself. A narrow step while all values fit a broadcast, a join of draws and
+    values beyond; both give equal results."""
     require_permutations(permutations, seed)
-    n = values.count()
-    if card > n - 1:
-        raise ValidationError(f"a cell has {card} neighbours, but only {n - 1} other values can be drawn")
-    if n > INDEPENDENT_LIMIT:
-        raise ValidationError(f"independent draws need all values in each task; {n} are over {INDEPENDENT_LIMIT}: use shared draws")
-    ordered = np.zeros(n)
-    for row in values.select("pos", "z").toLocalIterator():
-        ordered[row.pos] = row.z
-    shared = values.sparkSession.sparkContext.broadcast(ordered)
-    sums = cells.select("pos", "z", "obs", "weights").mapInArrow(_independent(shared, permutations, seed, (n - 1) / n), "pos long, n_at_least long, permutation_mean double, permutation_std double")
-    out = cells.join(sums, "pos").withColumn("p_sim", directed_p(F.col("n_at_least"), permutations))
-    return out.withColumn("z_sim", _z_sim(F.col("obs"), F.col("permutation_mean"), F.col("permutation_std")))
+    sizes, out = _checked_sizes(values, card), _blank(cells)
+    if sum(sizes.values()) * 8 > BROADCAST_BYTES:
+        return _finished(_independent_joined(cells, values, sizes, card, permutations, seed), permutations)
+    shared = values.sparkSession.sparkContext.broadcast(_dense(values, sizes, "z"))
+    return _finished(out.mapInArrow(_local_step(_independent(shared, sizes, permutations, seed), card, out.columns), out.schema), permutations)
+
+
+LOCAL = {"shared": local_conditional, "independent": local_independent}
+
+
+def local_permutations(cells: DataFrame, values: DataFrame, card: int, permutations: int = 999, seed: int = 12345, draws: str = "shared") -> DataFrame:
+    if draws not in LOCAL:
+        raise ValidationError("draws must be 'shared' or 'independent'")
+    return LOCAL[draws](cells, values, card, permutations, seed)
 
 
 def padded_neighbours(edges: DataFrame, card: int) -> DataFrame:
@@ -192,17 +375,29 @@ def with_inference(local: DataFrame, alpha: float = 0.05, fdr: bool = True, keys
     return out.withColumn("cluster", cluster_label(F.col("quadrant"), F.col("significant"))).withColumn("cluster_fdr", cluster_label(F.col("quadrant"), F.col("significant_fdr")))
 
 
-def local_raster_permutations(operator, components: DataFrame, permutations: int = 999, seed: int = 12345, draws: str = "shared") -> DataFrame:
-    """Permutations of a raster's valid cells. ``components`` are from ``moran.raster_components``; positions go by row, column."""
-    from spatlas.storage import with_positions
+def batches(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups of ``keys``, a row each, with ``series`` from 0 in their order; without keys, one row."""
+    if not keys:
+        return cells.sparkSession.range(1).select(F.lit(0).alias("series"))
+    found = sorted(cells.select(*keys).distinct().collect(), key=lambda r: tuple((x is not None, x) for x in r))
+    kinds = cells.select(*keys).schema.add("series", T.IntegerType())
+    return cells.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(found)], kinds)
 
-    if draws not in ("shared", "independent"):
-        raise ValidationError("draws must be 'shared' or 'independent'")
+
+def local_raster_permutations(operator, components: DataFrame, permutations: int = 999, seed: int = 12345, draws: str = "shared") -> DataFrame:
+    """Permutations of a raster's valid cells, batch axes apart. ``components`` are from ``moran.raster_components``; positions go by row, column."""
     from spatlas.operators.stencil import RasterOperator
 
-    slots = RasterOperator(operator.cells.select("row", "col", "valid"), operator.stencil, operator.normalization).neighbor_weights().where("valid").select("row", "col", "weights")
-    placed = with_positions(components.where("valid"), ["row", "col"]).join(slots, ["row", "col"])
+    keys = operator.keys
+    bare = RasterOperator(operator.cells.select(*keys, "row", "col", "valid"), operator.stencil, operator.normalization, tuple(keys))
+    slots = bare.neighbor_weights().where("valid").select(*keys, "row", "col", "weights")
+    placed = with_positions(components.where("valid"), [*keys, "row", "col"])
+    if keys:
+        series = batches(components, keys)
+        first = placed.groupBy(*keys).agg(F.min("pos").alias("_first"))
+        placed = placed.join(F.broadcast(series.join(first, keys)), keys).withColumn("pos", F.col("pos") - F.col("_first")).drop("_first")
+    else:
+        placed = placed.withColumn("series", F.lit(0))
     obs = (F.col("_n") - 1) * F.col("z") * F.col("lag") / F.col("_n") + F.lit(0.0)
-    cells = placed.withColumn("obs", obs).withColumn("own", F.lit(0.0))
-    run = local_conditional if draws == "shared" else local_independent
-    return run(cells, cells.select("pos", "z"), len(operator.stencil.offsets), permutations, seed)
+    cells = stored(placed.join(slots, [*keys, "row", "col"]).select(*keys, "row", "col", "series", "pos", "z", "weights", obs.alias("obs"), F.lit(0.0).alias("own")), "focal-cells")
+    return local_permutations(cells, cells.select("series", "pos", "z"), len(operator.stencil.offsets), permutations, seed, draws)

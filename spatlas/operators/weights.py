@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatlas.schema import ValidationError, validate_coordinates
+from spatlas.schema import ValidationError, validate_coordinates, validate_edges
 
 STRATEGIES = ("auto", "catalyst", "bucket", "arrow")
 #: Rows of a block of points in the blocked plan.
 BLOCK = 2048
+#: Distances that are held at once.
+DISTANCES = 1 << 17
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -27,21 +29,30 @@ def _pairs_joined(points: DataFrame) -> DataFrame:
 
 def _block_pairs(k: int | None, squared: float | None):
     def pairs(table: pa.Table) -> pa.Table:
-        """Distances of one block of points to another: of each point the k nearest, or those in reach."""
-        side = table.column("side").to_numpy()
-        ids, points = table.column("id").to_numpy(), np.array(table.column("coords").to_pylist(), np.float64)
+        """Distances of one block of points to another, a few rows of them at a time: of each point the k nearest, or those in reach."""
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        coords = table.column("coords").combine_chunks()
+        coords = coords.chunk(0) if isinstance(coords, pa.ChunkedArray) else coords
+        points = coords.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = []
-        for at in a:
-            d2 = ((points[b] - points[at]) ** 2).sum(1)
-            keep = ids[b] != ids[at]
-            if squared is not None and k is None:
-                keep &= d2 <= squared
-            other, d2 = ids[b][keep], d2[keep]
-            if k is not None and len(d2) > k:
-                near = np.lexsort((other, d2))[:k]
-                other, d2 = other[near], d2[near]
-            out.append((np.full(len(other), ids[at]), other, d2))
+        b = b[np.argsort(ids[b], kind="stable")]
+        out, step = [], max(1, DISTANCES // max(1, len(b)))
+        for at in range(0, len(a) if len(b) else 0, step):
+            own = a[at : at + step]
+            d2 = np.zeros((len(own), len(b)))
+            for dimension in points.T:
+                gap = dimension[own, None] - dimension[None, b]
+                d2 += gap * gap
+            keep = ids[own, None] != ids[None, b]
+            if k is None:
+                keep &= d2 <= (np.inf if squared is None else squared)
+            elif len(b) > k:  # ties at the k-th distance go to the smaller ids
+                d2[~keep] = np.inf
+                last = np.partition(d2, k - 1, axis=1)[:, k - 1, None]
+                near, tied = d2 < last, d2 == last
+                keep &= near | (tied & (np.cumsum(tied, axis=1) <= k - near.sum(1, keepdims=True)))
+            x, y = np.nonzero(keep)
+            out.append((ids[own[x]], ids[b[y]], d2[x, y]))
         i, j, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"i": i.astype(np.int64), "j": j.astype(np.int64), "d2": d})
 
@@ -194,6 +205,7 @@ class MatrixOperator:
     """An edge table behind the same methods as a raster's stencil."""
 
     def __init__(self, edges: DataFrame, ids: DataFrame):
+        validate_edges(edges, ids)
         self.edges, self.ids = edges, ids
 
     def apply(self, values: DataFrame, value: str = "value") -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from spatlas.sources.raster import one_to_one
 
 GRID = ["cell_id", "tile_id", "tile_h", "tile_v", "row", "col", "grid_row", "grid_col", "lon", "lat"]
-DAILY = ["cell_id", "ntl", "mandatory_quality_flag", "latest_high_quality_retrieval"]
 
 
 def tile_summary(grid: DataFrame) -> DataFrame:
-    """By tile: cells, bounds within the tile and in the grid, and whether the offset between both is constant."""
+    """By tile: cells, bounds within the tile and in the grid, how many offsets are between both, and how many tile_h and tile_v (where the grid has them)."""
     bounds = [f(c).alias(f"{n}_{c}") for c in ("row", "col", "grid_row", "grid_col") for f, n in ((F.min, "min"), (F.max, "max"))]
     offsets = [F.count_distinct(F.col(f"grid_{c}") - F.col(c)).alias(f"{c}_offsets") for c in ("row", "col")]
-    return grid.groupBy("tile_id").agg(F.count("*").alias("cells"), F.count_distinct("cell_id").alias("unique_cells"), *bounds, *offsets)
+    names = [F.count_distinct(c).alias(c) for c in ("tile_h", "tile_v") if c in grid.columns]
+    return grid.groupBy("tile_id").agg(*names, F.count("*").alias("cells"), F.count_distinct("cell_id").alias("unique_cells"), *bounds, *offsets)
 
 
 def tile_codes(grid: DataFrame) -> DataFrame:
@@ -63,18 +63,37 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.corr(f"_rank_{x}", f"_rank_{y}").alias("spearman"), F.count("*").alias("n"))
 
 
-def memory_estimates(n_cells, height, width) -> dict[str, int]:
-    """Bytes of the rectangle in single precision, of the sparse cells, and of dense n x n weights that are never made."""
-    return {"rectangle_bytes": 4 * height * width, "cells_bytes": 16 * n_cells, "dense_weight_bytes": 4 * n_cells * n_cells}
-
-
-def audit(grid: DataFrame, daily: DataFrame) -> dict:
-    """All checks as one dict; ``continuous`` says that the global index can replace a spatial join."""
-    bounds, edges, ids = grid_bounds(grid).first().asDict(), cross_tile_edges(grid).first().asDict(), one_to_one(grid, daily).first().asDict()
-    tiles = tile_summary(grid).agg(F.count("*").alias("tiles"), F.coalesce(F.bool_and((F.col("row_offsets") == 1) & (F.col("col_offsets") == 1)), F.lit(True)).alias("constant_offsets")).first().asDict()
-    out = bounds | edges | ids | tiles | memory_estimates(bounds["cells"], bounds["height"], bounds["width"])
+def orientation(grid: DataFrame) -> DataFrame:
+    """One row: which way rows and columns run, from the rank correlations with latitude and longitude over a systematic sample."""
+    sample = systematic_sample(grid, "cell_id")
+    lat, lon = (spearman(sample, a, b).select(F.col("spearman").alias(f"{a}_{b}_spearman")) for a, b in (("grid_row", "lat"), ("grid_col", "lon")))
+    rows = F.when(F.col("grid_row_lat_spearman") < 0, "north_to_south").otherwise("south_to_north")
+    columns = F.when(F.col("grid_col_lon_spearman") > 0, "west_to_east").otherwise("east_to_west")
+    return lat.crossJoin(lon).select(rows.alias("rows"), columns.alias("columns"), "grid_row_lat_spearman", "grid_col_lon_spearman")
+
+
+def memory_estimates(positions: int) -> dict:
+    """Bytes of arrays over the bounding rectangle, which no plan here makes."""
+    sizes = {name: {"one_array_bytes": positions * width, "values_lag_local_i_bytes": 3 * positions * width} for name, width in (("float32", 4), ("float64", 8))}
+    return sizes | {"boolean_mask_bytes": positions, "cell_id_int64_bytes": 8 * positions}
+
+
+def audit(grid: DataFrame, daily: DataFrame, hashes: dict[str, str] | None = None) -> dict:
+    """All checks as one dict; ``continuous_national_index`` says that the global index can replace a spatial join. ``hashes`` of the files are carried."""
+    found, edges, ids = (f.first().asDict() for f in (grid_bounds(grid), cross_tile_edges(grid), one_to_one(grid, daily)))
+    tiles = [r.asDict() for r in tile_summary(grid).orderBy("tile_id").collect()]  # a row a tile
+    constant = lambda *names: all(t[n] == 1 for t in tiles for n in names if n in t)
+    continuous = not any(ids.values()) and found["cells"] == found["unique_positions"] == found["unique_cells"]
+    area = found["height"] * found["width"]
+    out = {
+        **(hashes or {}), "grid_rows": found["cells"], "daily_rows": daily.count(), "grid_cell_id_unique": ids["grid_repeats"] == 0, "daily_cell_id_unique": ids["daily_repeats"] == 0,
+        "grid_position_unique": found["cells"] == found["unique_positions"], "grid_daily_one_to_one": not any(ids.values()),
+        "bounds": {k.replace("min_", "").replace("max_", "") + ("_min" if k.startswith("min") else "_max"): found[k] for k in ("min_grid_row", "max_grid_row", "min_grid_col", "max_grid_col")},
+        "shape": [found["height"], found["width"]], "rectangular_positions": area, "valid_positions": found["unique_positions"], "holes": area - found["unique_positions"], "coverage_fraction": found["unique_positions"] / area,
+        "tiles": len(tiles), "tile_row_offset_constant": constant("row_offsets"), "tile_col_offset_constant": constant("col_offsets"), "tile_h_v_constant_within_tile": constant("tile_h", "tile_v"),
+        "cross_tile_rook_edges_horizontal": edges["cross_tile_horizontal"], "cross_tile_rook_edges_vertical": edges["cross_tile_vertical"],
+        "continuous_national_index": continuous, "reconstruct_without_spatial_join": continuous, "memory_estimates": memory_estimates(area), "tile_summary": tiles,
+    }
     if {"lon", "lat"} <= set(grid.columns):
-        sample = systematic_sample(grid, "cell_id")
-        out["row_lat_spearman"], out["col_lon_spearman"] = spearman(sample, "grid_row", "lat").first()[0], spearman(sample, "grid_col", "lon").first()[0]
-    out["continuous"] = tiles["constant_offsets"] and not any(ids.values()) and bounds["cells"] == bounds["unique_positions"] == bounds["unique_cells"]
+        out["orientation"] = orientation(grid).first().asDict()
     return out

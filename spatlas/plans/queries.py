@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spatlas.functions import inferential_mask, quadrant_label
-from spatlas.operators import fdr, lag, moran, permute, weights
+from spatlas.functions.bijection import bijection_sql, key_sql
+from spatlas.operators import fdr, lag, moran, weights
 from spatlas.operators.stencil import RasterOperator, Stencil, inverse_distance, queen, rook
 from spatlas.plans import audit, interpret, runners
 from spatlas.sources import synthetic
@@ -211,46 +212,88 @@ def lisa_class_counts(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- permutations
-PLACES = "ps AS (SELECT *, row_number() OVER (ORDER BY r, c) - 1 AS id FROM lg)"
-_KEY = f"md5('{SEED}:' || rep || ':' || id)"
-SUMMARY = f"{rd('any_value(obs)', 'observed')}, count(*) FILTER (sim >= obs) AS n_at_least, {rd(f'(least(count(*) FILTER (sim >= obs), {R} - count(*) FILTER (sim >= obs)) + 1) / {R + 1}.0', 'p_sim')}, {rd('avg(sim)', 'EI_sim')}, {rd('stddev_pop(sim)', 'seI_sim')}"
+# ps has positions pos and standardized z; ed has edges between positions
+PLACES = "ps AS (SELECT *, row_number() OVER (ORDER BY r, c) - 1 AS pos FROM lc)"
+TIE = "5e-11"
+SIMULATED = ["observed", "n_at_least", "p_sim", "EI_sim", "seI_sim", "min_sim", "max_sim", "z_sim"]
+AT_LEAST = f"count(*) FILTER (sim >= obs - {TIE})"
+SUMMARY = f"{rd('any_value(obs)', 'observed')}, {AT_LEAST} AS n_at_least, {rd(f'(least({AT_LEAST}, {R} - {AT_LEAST}) + 1) / {R + 1}.0', 'p_sim')}, {rd('avg(sim)', 'EI_sim')}, {rd('stddev_pop(sim)', 'seI_sim')}, {rd('min(sim)', 'min_sim')}, {rd('max(sim)', 'max_sim')}, {rd('(any_value(obs) - avg(sim)) / stddev_pop(sim)', 'z_sim', 6)}"
 
 
-@query("raster_global_perm", f"WITH {QUEEN}, {PLACES}, ed AS (SELECT a.id AS i, b.id AS j, o.w / a.rw AS w FROM ps a CROSS JOIN o JOIN ps b ON b.r = a.r + o.dr AND b.c = a.c + o.dc), sh AS (SELECT rep, z, row_number() OVER (PARTITION BY rep ORDER BY {_KEY}, id) AS k FROM ps CROSS JOIN range({R}) t(rep)), ob AS (SELECT count(*) / sum((rw > 0)::INT) * sum(z * lag) / sum(z * z) AS obs FROM lg), si AS (SELECT a.rep, sum(w * a.z * b.z) * (SELECT count(*) / sum(z * z) FROM lg) / (SELECT sum(w) FROM ed) AS sim FROM ed JOIN sh a ON a.k = i + 1 JOIN sh b ON b.k = j + 1 AND b.rep = a.rep GROUP BY a.rep) SELECT {SUMMARY} FROM si CROSS JOIN ob")
+def rounded_summary(found: DataFrame) -> DataFrame:
+    return rounded(rounded(found, "observed", "p_sim", "EI_sim", "seI_sim", "min_sim", "max_sim"), "z_sim", digits=6)
+
+
+def global_sql(keys: list[str]) -> str:
+    """From ps (keys, series, pos, z) and ed: si (keys, rep, sim) and ob (keys, obs)."""
+    k, on = "".join(f"{c}, " for c in keys), "".join(f" AND b.{c} = a.{c}" for c in keys)
+    base = f"s0_ AS (SELECT {k}rep, pos, pos AS x, {key_sql(f'({SEED} + series)', 'rep')} AS key FROM ps CROSS JOIN range({R}) t(rep))"
+    moved = f"sh AS MATERIALIZED (SELECT {''.join(f'b.{c}, ' for c in keys)}b.rep, b.pos, a.z FROM bj b JOIN ps a ON a.pos = b.y{on} UNION ALL SELECT {k}-1, pos, z FROM ps)"
+    half = f"ea AS MATERIALIZED (SELECT {''.join(f'a.{c}, ' for c in keys)}a.rep, j, w * a.z AS wz FROM ed JOIN sh a ON a.pos = i)"
+    sims = f"sm AS (SELECT {''.join(f'a.{c}, ' for c in keys)}a.rep, sum(wz * b.z) / (SELECT sum(w) FROM ed) AS sim FROM ea a JOIN sh b ON b.pos = j AND b.rep = a.rep{on} GROUP BY ALL)"
+    return f"{base}, {bijection_sql('bj', 's0_', [*keys, 'rep', 'pos'], '(SELECT max(pos) + 1 FROM ps)')}, {moved}, {half}, {sims}, si AS (SELECT * FROM sm WHERE rep >= 0), ob AS (SELECT {k}sim AS obs FROM sm WHERE rep < 0)"
+
+
+@query("raster_global_perm", f"WITH RECURSIVE {QUEEN}, ps AS (SELECT *, 0 AS series FROM (SELECT r, c, z, rw, row_number() OVER (ORDER BY r, c) - 1 AS pos FROM lc)), ed AS (SELECT a.pos AS i, b.pos AS j, o.w / a.rw AS w FROM ps a CROSS JOIN o JOIN ps b ON b.r = a.r + o.dr AND b.c = a.c + o.dc), {global_sql([])} SELECT {SUMMARY} FROM si CROSS JOIN ob")
 def raster_global_perm(spark, sf_dir):
     found = runners.raster_global_permutations(RasterOperator(event_cells(spark, sf_dir), STENCILS["queen"]), R, SEED)
-    return rounded(found.select("observed", "n_at_least", "p_sim", "EI_sim", "seI_sim"), "observed", "p_sim", "EI_sim", "seI_sim")
+    return rounded_summary(found.select(*SIMULATED))
+
+
+def local_sql(card: int, keys: list[str], key: str, own: list[str], n: str) -> str:
+    """From ps (keys, series, pos, z, n, li) and sw (keys, pos, slot from 0, w): lp (keys, pos, g, m, low, high) of replicates whose draws have the
+    ``key`` of columns ``own`` (the focal position, or none if all share a draw)."""
+    on = lambda *t: "".join(f" AND {t[1]}.{c} = {t[0]}.{c}" for c in keys)
+    k, focal = "".join(f"{c}, " for c in keys), "".join(f"{c}, " for c in own)
+    base = f"sl AS (SELECT DISTINCT {k}{focal}rep, slot, slot AS x, {key} AS key FROM ps CROSS JOIN range({R}) q(rep) CROSS JOIN range({card}) t(slot))"
+    draws = bijection_sql("dr", "sl", [*keys, *own, "rep", "slot"], f"({n}) - 1")
+    met = f"xd AS MATERIALIZED (SELECT {''.join(f'x.{c}, ' for c in keys)}x.pos, d.rep, d.slot, d.y + (d.y >= x.pos)::INT AS y FROM dr d JOIN ps x ON {'d.pos = x.pos' if own else 'true'}{on('x', 'd')})"
+    weighed = f"xw AS MATERIALIZED (SELECT d.*, w FROM xd d JOIN sw s ON s.pos = d.pos AND s.slot = d.slot{on('d', 's')})"
+    sums = f"xs AS MATERIALIZED (SELECT {''.join(f'd.{c}, ' for c in keys)}d.pos, d.rep, sum(w * v.z) AS lag FROM xw d JOIN ps v ON v.pos = d.y{on('d', 'v')} GROUP BY ALL)"
+    sims = f"sm AS (SELECT {''.join(f'x.{c}, ' for c in keys)}x.pos, q.rep, x.li, (x.n - 1) / x.n * x.z * coalesce(l.lag, 0) AS sim FROM ps x CROSS JOIN range({R}) q(rep) LEFT JOIN xs l ON l.pos = x.pos AND l.rep = q.rep{on('x', 'l')})"
+    return f"{base}, {draws}, {met}, {weighed}, {sums}, {sims}, lp AS (SELECT {k}pos, count(*) FILTER (sim >= li - {TIE}) AS g, avg(sim) AS m, min(sim) AS low, max(sim) AS high FROM sm GROUP BY ALL), pv AS (SELECT ps.*, g, m, low, high, (least(g, {R} - g) + 1) / {R + 1}.0 AS p FROM lp JOIN ps USING ({k}pos)), {bh_sql(keys)}"
+
+
+def bh_sql(keys: list[str]) -> str:
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return f"qv AS (SELECT *, least(1, min(p * m_all / k) OVER ({part}ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS f FROM (SELECT *, count(*) OVER ({part}ORDER BY p) AS k, count(*) OVER ({part}) AS m_all FROM pv))"
+
 
+_SLOTS = "ps AS (SELECT *, 0 AS series FROM (SELECT *, row_number() OVER (ORDER BY r, c) - 1 AS pos FROM lc)), sw AS (SELECT a.pos, o.k AS slot, o.w / a.rw AS w FROM ps a CROSS JOIN o JOIN ps b ON b.r = a.r + o.dr AND b.c = a.c + o.dc)"
+LOCAL_SIM = f"{ROOK}, {_SLOTS}, {local_sql(4, [], key_sql(SEED, 'rep'), [], 'SELECT count(*) FROM lc')}"
+LOCAL_OWN = f"{ROOK}, {_SLOTS}, {local_sql(4, [], key_sql(SEED, 'rep', 'pos'), ['pos'], 'SELECT count(*) FROM lc')}"
 
-_CARD = 4
-_DRAWS = f"cd AS (SELECT rep, t, ('0x' || substr(md5('{SEED}:' || rep || ':' || t), 1, 13))::BIGINT % (SELECT count(*) - 1 FROM lg) AS h FROM range({R}) x(rep) CROSS JOIN range({2 * _CARD + 8}) y(t)), fd AS (SELECT rep, h, row_number() OVER (PARTITION BY rep ORDER BY min(t)) AS slot FROM cd GROUP BY rep, h), dr AS (SELECT rep, slot, h FROM fd WHERE slot <= {_CARD})"
-LOCAL_SIM = f"{ROOK}, pp AS (SELECT *, row_number() OVER (ORDER BY r, c) - 1 AS id FROM lc), {_DRAWS}, dz AS (SELECT rep, slot, h, a.z AS lo, b.z AS hi FROM dr JOIN pp a ON a.id = h JOIN pp b ON b.id = h + 1), sw AS (SELECT a.id, o.k + 1 AS slot, o.w / a.rw AS w FROM pp a CROSS JOIN o JOIN pp b ON b.r = a.r + o.dr AND b.c = a.c + o.dc), sm AS (SELECT x.id, x.r, x.c, x.q, x.rw, x.li, d.rep, (any_value(x.n) - 1) / any_value(x.n) * any_value(x.z) * sum(coalesce(s.w, 0) * CASE WHEN d.h >= x.id THEN d.hi ELSE d.lo END ORDER BY d.slot) AS sim FROM pp x CROSS JOIN dz d LEFT JOIN sw s ON s.id = x.id AND s.slot = d.slot GROUP BY x.id, x.r, x.c, x.q, x.rw, x.li, d.rep), lp AS (SELECT r, c, q, rw, li, count(*) FILTER (sim >= li) AS g, avg(sim) AS m FROM sm GROUP BY ALL), pv AS (SELECT *, (least(g, {R} - g) + 1) / {R + 1}.0 AS p FROM lp), rk AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS m_all FROM pv), qv AS (SELECT *, least(1, min(p * m_all / k) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS f FROM rk)"
 
+def _local_rook(spark, sf_dir, draws: str = "shared") -> DataFrame:
+    return runners.raster_local(RasterOperator(event_cells(spark, sf_dir), STENCILS["rook"]), R, SEED, alpha=0.05, draws=draws)
 
-def _local_rook(spark, sf_dir) -> DataFrame:
-    return runners.raster_local(RasterOperator(event_cells(spark, sf_dir), STENCILS["rook"]), R, SEED, alpha=0.05)
 
+_LOCAL_COLUMNS = f"r AS row, c AS col, {rd('p', 'p_sim')}, {rd('m', 'permutation_mean')}, {rd('low', 'min_sim')}, {rd('high', 'max_sim')}, {rd('f', 'p_fdr')}, f <= 0.05 AS significant_fdr"
 
-# a sum of four terms in another order can pass an exact tie; the counts of such ties are too few to show in sums of p here
-@query("raster_local_perm", f"WITH {LOCAL_SIM} SELECT r AS row, c AS col, {rd('p', 'p_sim')}, {rd('m', 'permutation_mean', 7)} FROM pv")
+
+def _local_columns(found: DataFrame) -> DataFrame:
+    return rounded(found.select("row", "col", "p_sim", "permutation_mean", "min_sim", "max_sim", "p_fdr", "significant_fdr"), "p_sim", "permutation_mean", "min_sim", "max_sim", "p_fdr")
+
+
+@query("raster_local_perm", f"WITH RECURSIVE {LOCAL_SIM} SELECT {_LOCAL_COLUMNS} FROM qv")
 def raster_local_perm(spark, sf_dir):
-    return rounded(rounded(_local_rook(spark, sf_dir).select("row", "col", "p_sim", "permutation_mean"), "p_sim"), "permutation_mean", digits=7)
+    return _local_columns(_local_rook(spark, sf_dir))
 
 
-@query("raw_vs_inferential_counts", f"WITH {LOCAL_SIM} SELECT count(*) AS rows, count(*) FILTER (p <= 0.05) AS raw_total, 0::BIGINT AS raw_nodata, count(*) FILTER (p <= 0.05 AND rw = 0) AS raw_islands, count(*) FILTER (p <= 0.05 AND rw > 0) AS inferential FROM pv")
+@query("raw_vs_inferential_counts", f"WITH RECURSIVE {LOCAL_SIM} SELECT count(*) AS rows, count(*) FILTER (p <= 0.05) AS raw_significant_total, 0::BIGINT AS raw_significant_nodata, count(*) FILTER (p <= 0.05 AND rw = 0) AS raw_significant_islands, count(*) FILTER (p <= 0.05 AND rw > 0) AS inferential_significant FROM pv")
 def raw_vs_inferential_counts(spark, sf_dir):
     return interpret.result_counts(_local_rook(spark, sf_dir).select("quadrant", "significant"))
 
 
-@query("inferential_mask", f"WITH {LOCAL_SIM} SELECT r AS row, c AS col, p <= 0.05 AND rw > 0 AS inferential FROM pv")
+@query("inferential_mask", f"WITH RECURSIVE {LOCAL_SIM} SELECT r AS row, c AS col, p <= 0.05 AND rw > 0 AS inferential FROM pv")
 def inferential(spark, sf_dir):
     local = _local_rook(spark, sf_dir)
     return local.select("row", "col", inferential_mask(F.col("valid"), F.col("island"), F.col("significant"), F.col("quadrant_code")).alias("inferential"))
 
 
-@query("raster_local_independent")
+@query("raster_local_independent", f"WITH RECURSIVE {LOCAL_OWN} SELECT {_LOCAL_COLUMNS} FROM qv")
 def raster_local_independent(spark, sf_dir):
-    return runners.raster_local(RasterOperator(event_cells(spark, sf_dir), STENCILS["rook"]), R, SEED, draws="independent").select("row", "col", "p_sim", "p_fdr", "significant_fdr")
+    return _local_columns(_local_rook(spark, sf_dir, "independent"))
 
 
 # ---------------------------------------------------------------- weights
@@ -272,6 +315,9 @@ edges_query("transform_d", f"{PLANE}, {_N8}, {_u('nn')}, e AS (SELECT i, j, w /
 edges_query("transform_v", f"{PLANE}, {_N8}, {_u('nn')}, v AS (SELECT i, j, w / sqrt(sum(w * w) OVER (PARTITION BY i)) AS w FROM u), e AS (SELECT i, j, w * (SELECT count(*) FROM p) / sum(w) OVER () AS w FROM v)", lambda s, d: weights.transform(weights.inverse_distance_weights(plane_points(s, d), k=8, row_standardize=False), points(s, d), "V"))
 
 
+edges_query("transform_b", f"{PLANE}, {_N8}, {_u('nn')}, e AS (SELECT i, j, 1.0::DOUBLE AS w FROM u)", lambda s, d: weights.transform(weights.inverse_distance_weights(plane_points(s, d), k=8, row_standardize=False), points(s, d), "B"))
+
+
 @query("contiguity_queen", f"WITH {CELLS}, o AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM cells a JOIN cells b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c)) SELECT r * 1000 + c AS i, count(*) AS n, sum(r2 * 1000 + c2)::BIGINT AS sum_j, {rd('1.0', 'sum_w')} FROM o GROUP BY r, c")
 def contiguity_queen(spark, sf_dir):
     corner = [(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]
@@ -325,10 +371,21 @@ def moran_local_vector(spark, sf_dir):
     return rounded(moran.moran_local(edges, p.select("id", "value")).select("id", "z", "spatial_lag", "local_i", "quadrant_code"), "z", "spatial_lag", "local_i")
 
 
-@query("local_perm_vector")
+_VECTOR = f"{_K8}, pz AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS z, count(*) OVER () AS n, 0 AS series FROM p), ed AS (SELECT a.pos AS i, b.pos AS j, w FROM e JOIN pz a ON a.id = e.i JOIN pz b ON b.id = e.j), ps AS (SELECT a.*, coalesce(lag, 0) AS lag, (n - 1) * z * coalesce(lag, 0) / n AS li FROM pz a LEFT JOIN (SELECT i, sum(w * b.z) AS lag FROM ed JOIN pz b ON b.pos = ed.j GROUP BY i) l ON l.i = a.pos)"
+
+
+@query("local_perm_vector", f"WITH RECURSIVE {_VECTOR}, sw AS (SELECT i AS pos, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS slot, w FROM ed), {local_sql(8, [], key_sql(SEED, 'rep'), [], 'SELECT count(*) FROM p')} SELECT id, {rd('li', 'local_i')}, {rd('p', 'p_sim')}, {rd('f', 'p_fdr')}, CASE WHEN p > 0.05 THEN 'not significant' WHEN z > 0 AND lag > 0 THEN 'HH' WHEN z <= 0 AND lag > 0 THEN 'LH' WHEN z <= 0 THEN 'LL' ELSE 'HL' END AS cluster FROM qv")
 def local_perm_vector(spark, sf_dir):
     edges, p = _k8(spark, sf_dir)
-    return runners.moran_local_inference(edges, p.select("id", "value"), R, SEED).select("id", "local_i", "p_sim", "p_fdr", "cluster")
+    found = runners.moran_local_inference(edges, p.select("id", "value"), R, SEED).select("id", "local_i", "p_sim", "p_fdr", "cluster")
+    return rounded(found, "local_i", "p_sim", "p_fdr")
+
+
+@query("moran_vector_perm", f"WITH RECURSIVE {_VECTOR}, {global_sql([])} SELECT {SUMMARY} FROM si CROSS JOIN ob")
+def moran_vector_perm(spark, sf_dir):
+    edges, p = _k8(spark, sf_dir)
+    found = runners.moran_permutations(edges, p.select("id", "value"), R, SEED)
+    return rounded_summary(found.withColumnRenamed("I", "observed").select(*SIMULATED))
 
 
 # ---------------------------------------------------------------- panels
@@ -368,16 +425,43 @@ def local_moran_panel(spark, sf_dir):
     return rounded(moran.moran_local(edges, values, ["variable", "period"]).select("id", "variable", "period", "local_i"), "local_i")
 
 
-@query("moran_panel_perm")
+_SERIES = ["variable", "period"]
+_PANEL = f"{PANEL}, ix AS (SELECT variable, period, row_number() OVER (ORDER BY variable, period) - 1 AS series FROM (SELECT DISTINCT variable, period FROM pn)), io AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM p), ps AS (SELECT l.id, l.variable, l.period, series, pos, n, z / sd AS z, (n - 1) * (z / sd) * (lag / sd) / n AS li FROM pl l JOIN ix USING (variable, period) JOIN io USING (id)), ed AS (SELECT a.pos AS i, b.pos AS j, w FROM e JOIN io a ON a.id = e.i JOIN io b ON b.id = e.j)"
+
+
+@query("moran_panel_perm", f"WITH RECURSIVE {_PANEL}, {global_sql(_SERIES)} SELECT variable, period, {SUMMARY} FROM si JOIN ob USING (variable, period) GROUP BY variable, period")
 def moran_panel_perm(spark, sf_dir):
     edges, values = panel(spark, sf_dir)
-    return runners.moran_panel(edges, values, R, SEED).select("variable", "period", "I", "p_sim", "EI_sim")
+    found = runners.moran_panel(edges, values, R, SEED).withColumnRenamed("I", "observed")
+    return rounded_summary(found.select(*_SERIES, *SIMULATED))
+
+
+@query("local_panel_perm", f"WITH RECURSIVE {_PANEL}, sw AS (SELECT variable, period, i AS pos, row_number() OVER (PARTITION BY variable, period, i ORDER BY j) - 1 AS slot, w FROM ed CROSS JOIN ix), {local_sql(6, _SERIES, key_sql(f'({SEED} + series)', 'rep'), [], 'SELECT count(*) FROM p')} SELECT id, variable, period, {rd('li', 'local_i')}, {rd('p', 'p_sim')}, {rd('m', 'permutation_mean')}, {rd('f', 'p_fdr')} FROM qv")
+def local_panel_perm(spark, sf_dir):
+    edges, values = panel(spark, sf_dir)
+    found = runners.moran_local_inference(edges, values, R, SEED, keys=_SERIES).select("id", *_SERIES, "local_i", "p_sim", "permutation_mean", "p_fdr")
+    return rounded(found, "local_i", "p_sim", "permutation_mean", "p_fdr")
 
 
 # ---------------------------------------------------------------- multiple testing
-P_VALUES = "t AS (SELECT event_id AS id, ((event_id * 7919) % 1009 + 1) / 2000.0::DOUBLE AS p FROM events), r AS (SELECT *, count(*) OVER (ORDER BY p) AS k, rank() OVER (ORDER BY p) AS f, count(*) OVER () AS m FROM t)"
+P_VALUES = "t AS (SELECT event_id AS id, ((event_id * 7919) % 1009 / 1008.0::DOUBLE) ** 2 AS p FROM events), r AS (SELECT *, count(*) OVER (ORDER BY p) AS k, rank() OVER (ORDER BY p) AS f, count(*) OVER () AS m FROM t)"
 _UP = "min({x}) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _DOWN = "max({x}) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_STAGED = "least(1, q * (CASE WHEN r1 = m THEN 1.0 ELSE (m - r1) / m::DOUBLE END) * {f})"
+_BH = "least(1, min(p * m / k) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+ALPHA = 0.3
+
+
+def _two_stage_sql(factor: float) -> str:
+    """Benjamini-Hochberg at alpha over the factor, then again with the hypotheses that were left."""
+    return f"WITH {P_VALUES}, b AS (SELECT *, {_BH} AS q FROM r), c AS (SELECT count(*) FILTER (q <= {ALPHA} / {factor}) AS r1 FROM b) SELECT id, {rd(_STAGED.format(f=factor), 'p_adjusted', 8)}, {_STAGED.format(f=factor)} <= {ALPHA} AS reject FROM b CROSS JOIN c"
+
+
+#: By the definition: a p-value is rejected at a level if it is at most the level over h, the size of the largest set of the largest p-values
+#: that Simes' test doesn't reject; distinct values t stand at their largest rank k.
+HOMMEL = f"""WITH {P_VALUES}, t2 AS (SELECT p, max(k) AS k, any_value(m) AS m FROM r GROUP BY p), i AS (SELECT unnest(range(1, (SELECT any_value(m) FROM t2) + 1)) AS i),
+si AS (SELECT i, min(i * p / (k - (m - i))) AS s FROM i JOIN t2 ON k > m - i GROUP BY i UNION ALL SELECT (SELECT any_value(m) FROM t2) + 1, 0.0),
+ad AS (SELECT p, min(greatest(s, (i - 1) * p)) AS q FROM t2 CROSS JOIN si GROUP BY p) SELECT id, {rd('least(1, q)', 'p_adjusted', 8)}, least(1, q) <= {ALPHA} AS reject FROM t JOIN ad USING (p)"""
 _ADJUST = {
     "bonferroni": "p * m", "sidak": "1 - (1 - p) ** m", "holm": _DOWN.format(x="p * (m - f + 1)"), "holm-sidak": _DOWN.format(x="1 - (1 - p) ** (m - f + 1)"), "simes-hochberg": _UP.format(x="p * (m - k + 1)"),
     "fdr_bh": _UP.format(x="p * m / k"), "fdr_by": _UP.format(x="p * m / k * (SELECT sum(1.0::DOUBLE / i) FROM range(1, (SELECT count(*) FROM t) + 1) h(i))"),
@@ -385,20 +469,22 @@ _ADJUST = {
 
 
 def _p_values(spark, sf_dir) -> DataFrame:
-    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") * 7919 % 1009 + 1) / F.lit(2000.0)).alias("p"))
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.pow(F.col("event_id") * 7919 % 1009 / F.lit(1008.0), F.lit(2.0)).alias("p"))
+
+
+_FULL = {"hommel": HOMMEL, "fdr_tsbh": _two_stage_sql(1.0), "fdr_tsbky": _two_stage_sql(1 + ALPHA)}
 
 
-def _fdr_query(method: str, sql: str | None) -> None:
-    name = method.replace("-", "_")
-    full = f"WITH {P_VALUES}, a AS (SELECT id, {rd(f'least(1, {sql})', 'p_adjusted', 8)} FROM r) SELECT * FROM a" if sql else None
+def _fdr_query(method: str) -> None:
+    full = _FULL.get(method) or f"WITH {P_VALUES}, a AS (SELECT id, least(1, {_ADJUST[method]}) AS q FROM r) SELECT id, {rd('q', 'p_adjusted', 8)}, q <= {ALPHA} AS reject FROM a"
 
-    @query(name, full)
+    @query(method.replace("-", "_"), full)
     def adjusted(spark, sf_dir):
-        return rounded(fdr.adjust_pvalues(_p_values(spark, sf_dir), method, 0.3).select("id", "p_adjusted"), "p_adjusted", digits=8)
+        return rounded(fdr.adjust_pvalues(_p_values(spark, sf_dir), method, ALPHA).select("id", "p_adjusted", "reject"), "p_adjusted", digits=8)
 
 
 for _method in fdr.METHODS:
-    _fdr_query(_method, _ADJUST.get(_method))
+    _fdr_query(_method)
 
 
 @query("fdr_reject", f"WITH {P_VALUES}, a AS (SELECT id, p, {_UP.format(x='p * m / k')} AS q FROM r) SELECT p <= 0.25 AS low, q <= 0.501 AS reject, count(*) AS n FROM a GROUP BY ALL")
@@ -472,7 +558,16 @@ def quadrant_labels(spark, sf_dir):
     return spark.range(6).select(F.col("id").cast("byte").alias("code"), quadrant_label(F.col("id")).alias("label"))
 
 
-@query("artifact_types", "SELECT p AS path, t AS artifact_type FROM (VALUES ('a.JSON', 'metadata'), ('x/b.csv', 'table'), ('c.parquet', 'local_result'), ('d.xyz', 'other')) v(p, t)")
+_PATHS = ["run/a.JSON", "x/b.csv", "canonical/c.parquet", "d.xyz", "old/e.zip", "old/c.parquet", "f.png", "g.ipynb"]
+
+
+@query("artifact_types", "SELECT p AS path, t AS artifact_type, c AS condition, r AS canonical_reference FROM (VALUES ('run/a.JSON', 'metadata/json', 'local-only', ''), ('x/b.csv', 'table/csv', 'local-only', ''), ('canonical/c.parquet', 'local-results/parquet', 'canonical', ''), ('d.xyz', 'other', 'local-only', ''), ('old/e.zip', 'archive/zip', 'archived', ''), ('old/c.parquet', 'local-results/parquet', 'duplicate', 'canonical/c.parquet'), ('f.png', 'figure/png', 'local-only', ''), ('g.ipynb', 'notebook/ipynb', 'local-only', '')) v(p, t, c, r)")
 def artifact_types(spark, sf_dir):
-    paths = spark.createDataFrame([("a.JSON",), ("x/b.csv",), ("c.parquet",), ("d.xyz",)], "path string")
-    return paths.select("path", interpret.artifact_type(F.col("path")).alias("artifact_type"))
+    kind = interpret.artifact_condition(F.col("path"), ["canonical/.*"], {"old/c.parquet": "canonical/c.parquet"})
+    paths = spark.createDataFrame([(p,) for p in _PATHS], "path string")
+    return paths.select("path", interpret.artifact_type(F.col("path")).alias("artifact_type"), kind.alias("k")).select("path", "artifact_type", "k.*")
+
+
+@query("grid_orientation", f"WITH {CELLS}, k AS (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0 AS y, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS x, rank() OVER (ORDER BY -r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0 AS lat FROM cells) SELECT 'north_to_south' AS rows, 'west_to_east' AS columns, {rd('corr(y, lat)', 'grid_row_lat_spearman')}, {rd('corr(x, x)', 'grid_col_lon_spearman')} FROM k")
+def grid_orientation(spark, sf_dir):
+    return rounded(audit.orientation(tiles(spark, sf_dir)), "grid_row_lat_spearman", "grid_col_lon_spearman")

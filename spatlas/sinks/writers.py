@@ -38,9 +38,15 @@ def write_csv(metrics: DataFrame, path: str) -> None:
 
 
 def audit_report(audit: dict, path: str | None = None) -> str:
-    lines = ["# Grid audit", "", "| Check | Value |", "|---|---|", *(f"| {k} | {v} |" for k, v in sorted(audit.items()))]
-    verdict = "The global index is continuous." if audit.get("continuous") else "The global index is NOT continuous."
-    text = "\n".join([*lines, "", verdict, ""])
+    """An audit as Markdown: the verdict first, then size, topology and memory."""
+    ways, mib = audit.get("orientation", {}), lambda n: f"{n / 2**20:.1f} MiB"
+    sections = {
+        "Verdict": {"Continuous integer index": audit["continuous_national_index"], "Reconstructable without a spatial join": audit["reconstruct_without_spatial_join"], "Grid and daily table one to one": audit["grid_daily_one_to_one"]},
+        "Size and coverage": {"Grid rows": f"{audit['grid_rows']:,}", "Daily rows": f"{audit['daily_rows']:,}", "Shape": " x ".join(f"{n:,}" for n in audit["shape"]), "Valid positions": f"{audit['valid_positions']:,}", "Holes": f"{audit['holes']:,}", "Coverage": f"{audit['coverage_fraction']:.4%}", "Rows run": ways.get("rows", "unknown"), "Columns run": ways.get("columns", "unknown")},
+        "Topology": {"Unique cell_id (grid, daily)": f"{audit['grid_cell_id_unique']}, {audit['daily_cell_id_unique']}", "Unique positions": audit["grid_position_unique"], "Constant tile offsets (rows, columns)": f"{audit['tile_row_offset_constant']}, {audit['tile_col_offset_constant']}", "Edges across tiles (horizontal, vertical)": f"{audit['cross_tile_rook_edges_horizontal']:,}, {audit['cross_tile_rook_edges_vertical']:,}"},
+        "Memory of dense arrays": {name: mib(size["one_array_bytes"]) for name, size in audit["memory_estimates"].items() if isinstance(size, dict)},
+    }
+    text = "# Grid audit\n" + "".join(f"\n## {title}\n\n" + "".join(f"- {k}: **{v}**\n" for k, v in rows.items()) for title, rows in sections.items())
     if path:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(text, encoding="utf-8")

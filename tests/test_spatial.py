@@ -1,7 +1,7 @@
 """Operators against NumPy on small inputs, and the contracts of bad input."""
 
-import hashlib
 import math
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatlas import schema
-from spatlas.functions import inferential_mask, two_sided_p
+from spatlas.functions import bijection, inferential_mask, two_sided_p
 from spatlas.operators import fdr, lag, moran, permute, weights
 from spatlas.operators.stencil import RasterOperator, Stencil, inverse_distance, queen, raster_weights, rook
 from spatlas.plans import audit, interpret, queries, runners
@@ -109,13 +109,14 @@ def test_batches_and_unnormalized(spark):
 
 def test_stencil_contracts(spark):
     assert len(inverse_distance(2).offsets) == 12 and rook().offsets == ((-1, 0), (0, -1), (0, 1), (1, 0))
-    for bad in (lambda: Stencil("x", (), ()), lambda: Stencil("x", ((0, 0),), (1.0,)), lambda: inverse_distance(0), lambda: RasterOperator(grid(spark, [[1.0]]), rook(), "max"), lambda: raster_weights(grid(spark, [[1.0]]), "bishop")):
+    for bad in (lambda: Stencil("x", ()), lambda: Stencil("x", [(0, 0, 1.0)]), lambda: Stencil("x", [(0, 1, 1.0), (0, 1, 2.0)]), lambda: inverse_distance(0), lambda: RasterOperator(grid(spark, [[1.0]]), rook(), "max"), lambda: raster_weights(grid(spark, [[1.0]]), "bishop")):
         with pytest.raises(ValidationError):
             bad()
     nan = grid(spark, [[1, 1], [1, np.nan]], [[1, 1], [1, 1]])
-    for cells in (nan, grid(spark, [[1.0, 1.0]]), grid(spark, [[1.0]])):
-        with pytest.raises(ValidationError):
-            moran.check_raster(RasterOperator(cells, rook()))
+    for cells, fault in ((nan, "NaN"), (grid(spark, [[1.0, 1.0]]), "constant"), (grid(spark, [[1.0]]), "two values")):
+        for statistic in (moran.moran_global_raster, moran.moran_local_raster):
+            with pytest.raises(Exception, match=fault):
+                statistic(RasterOperator(cells, rook())).collect()
 
 
 def test_raster_source(spark, tmp_path):
@@ -198,9 +199,8 @@ def test_moran_and_panel(spark):
     z = (y - y.mean()) / y.std()
     local = {r.id: r for r in moran.moran_local(edges, vector(spark)).collect()}
     assert np.allclose([local[i].local_i for i in range(5)], 4 * z * (w @ z) / (z @ z))
-    with pytest.raises(ValidationError):
-        moran.moran(edges.where("w < 0"), vector(spark))
-    assert [r.series for r in moran.panel_index(panel, ["a", "b"], [0, 1]).orderBy("variable", "period", "id").select("series").distinct().orderBy("series").collect()] == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="sum to zero"):
+        moran.moran(edges.where("w < 0"), vector(spark)).collect()
     found = runners.moran_panel(edges, panel, 9, 5)
     assert found.count() == 4 and found.where("p_sim < 0.1").count() == found.where("p_sim = 0.1").count() - found.where("p_sim >= 0.1").count() + found.where("p_sim > 0.1").count()
 
@@ -217,10 +217,10 @@ def test_panel_permutations(spark, tmp_path):
     assert len(got) == 6
     for k, (v, p) in enumerate((v, p) for v in "ab" for p in range(3)):
         y = np.array([sum(e[0] == u and e[1] == v and (e[2].day - 1) // 7 == p for e in events) for u in range(1, 9)], float)
-        orders = [sorted(range(8), key=lambda i: hashlib.md5(f"{queries.SEED + k}:{rep}:{i}".encode()).hexdigest()) for rep in range(queries.R)]
+        orders = [bijection.bijection(np.arange(8), bijection.key(queries.SEED + k, rep), 8) for rep in range(queries.R)]
         sims, observed = np.array([index((y - y.mean())[o]) for o in orders]), index(y - y.mean())
         g = int((sims >= observed).sum())
-        assert np.allclose([got[v, p].I, got[v, p].EI_sim, got[v, p].p_sim], [observed, sims.mean(), (min(g, 99 - g) + 1) / 100])
+        assert np.allclose([got[v, p].observed, got[v, p].EI_sim, got[v, p].p_sim], [observed, sims.mean(), (min(g, 99 - g) + 1) / 100])
 
 
 def test_validation(spark):
@@ -241,33 +241,116 @@ def test_validation(spark):
 
 
 # ---------------------------------------------------------------- inference
-def test_permutations(spark):
+def test_bijections():
+    for n in (1, 2, 3, 5, 63, 64, 1000):
+        keys = bijection.key(-3, np.arange(40))[:, None]
+        y = bijection.bijection(np.arange(n)[None, :], keys, n)
+        assert (np.sort(y, 1) == np.arange(n)).all() and (bijection.inverse(y, keys, n) == np.arange(n)).all()
+    orders = Counter(map(tuple, bijection.bijection(np.arange(4)[None, :], bijection.key(1, np.arange(24_000))[:, None], 4)))
+    assert len(orders) == 24 and sum((c - 1000) ** 2 / 1000 for c in orders.values()) < 50
+    gaps = np.diff(bijection.bijection(np.array([0, 50])[None, :], bijection.key(2, np.arange(50_000))[:, None], 100), axis=1) % 100
+    assert ((np.bincount(gaps.ravel(), minlength=100)[1:] - 50_000 / 99) ** 2 / (50_000 / 99)).sum() < 160
+
+
+def test_permutations(spark, monkeypatch):
     r = np.random.default_rng(1)
     a = r.normal(size=(6, 6)) + np.arange(6)[:, None]
     op = RasterOperator(grid(spark, a), rook())
     first, again = (runners.raster_global_permutations(op, 49, 7).first() for _ in range(2))
     assert first == again and abs(first.observed - moran.moran_global_raster(op).first().I) < 1e-10
     assert first.p_sim == (min(first.n_at_least, 49 - first.n_at_least) + 1) / 50 and first.p_sim <= 0.5 and abs(first.EI_sim + 1 / 35) < 0.1
+    # the replicates as NumPy makes them
+    cells, w = stencil_matrix(np.ones((6, 6), bool), rook())
+    w /= w.sum(1, keepdims=True)
+    z = a.ravel() - a.mean()
+    sims = []
+    for rep in range(49):
+        moved = z[bijection.bijection(np.arange(36), bijection.key(7, rep), 36)]
+        sims.append(36 / w.sum() * (moved @ w @ moved) / (z @ z))
+    kept = {x.rep: x.sim for x in runners.raster_global_permutations(op, 49, 7, keep=True).collect()}
+    assert np.allclose([kept[k] for k in range(49)], sims, atol=1e-10) and abs(first.min_sim - min(sims)) < 1e-10 and abs(first.seI_sim - np.std(sims)) < 1e-10
     local = {(x.row, x.col): x for x in runners.raster_local(op, 199, 7).collect()}
     alone = {(x.row, x.col): x for x in runners.raster_local(op, 199, 7, draws="independent").collect()}
     assert np.mean([abs(local[k].p_sim - alone[k].p_sim) for k in local]) < 0.06
-    assert all(x.p_sim >= 1 / 200 and x.p_fdr >= x.p_sim for x in local.values())
+    assert all(x.p_sim >= 1 / 200 and x.p_fdr >= x.p_sim - 1e-12 and x.min_sim - 1e-12 <= x.permutation_mean <= x.max_sim + 1e-12 for x in local.values())
     for bad in (lambda: permute.require_permutations(0, 1), lambda: permute.require_permutations(9, None), lambda: runners.raster_local(op, 9, 7, draws="own")):
         with pytest.raises(ValidationError):
             bad()
-
-
-def test_shared_draws_are_distinct_even_when_few(spark):
-    values = with_positions(vector(spark).withColumnRenamed("value", "z"), ["id"])
-    rows = permute.shared_draws(values, 4, 30, 11).collect()
-    assert len(rows) == 30 and all(sorted(r.h) == [0, 1, 2, 3] for r in rows)
+    monkeypatch.setattr(permute, "BROADCAST_BYTES", 0)  # the joined plans, a replicate's draws at a time
+    big = runners.raster_global_permutations(op, 49, 7).first()
+    assert big.n_at_least == first.n_at_least and abs(big.EI_sim - first.EI_sim) < 1e-10 and abs(big.seI_sim - first.seI_sim) < 1e-10
+    island = np.ones((6, 6), bool)
+    island[0, 1] = island[1, 0] = False
+    for mask in (None, island):
+        cut = RasterOperator(grid(spark, a, mask), rook())
+        for draws in permute.LOCAL:
+            joined = {(x.row, x.col): x for x in runners.raster_local(cut, 9, 7, draws=draws).where("valid").collect()}
+            with monkeypatch.context() as m:
+                m.setattr(permute, "BROADCAST_BYTES", 1 << 20)
+                near = {(x.row, x.col): x for x in runners.raster_local(cut, 9, 7, draws=draws).where("valid").collect()}
+            assert all(near[k].n_at_least == joined[k].n_at_least and abs(near[k].min_sim - joined[k].min_sim) < 1e-10 and abs(near[k].permutation_std - joined[k].permutation_std) < 1e-6 for k in near)
+
+
+def test_independent_draws_equal_numpy(spark):
+    a = np.random.default_rng(2).normal(size=(4, 5))
+    found = {(x.row, x.col): x for x in runners.raster_local(RasterOperator(grid(spark, a), rook()), 29, 5, draws="independent").collect()}
+    z = (a.ravel() - a.mean()) / a.std()
+    cells, w = stencil_matrix(np.ones((4, 5), bool), rook())
+    w /= w.sum(1, keepdims=True)
+    for i, c in enumerate(cells):
+        slots = [w[i, cells.index((c[0] + dr, c[1] + dc))] if (c[0] + dr, c[1] + dc) in cells else 0.0 for dr, dc in rook().offsets]
+        sims = []
+        for rep in range(29):
+            h = bijection.bijection(np.arange(4), bijection.key(5, rep, i), 19)
+            assert len(set(h)) == 4
+            sims.append(19 / 20 * z[i] * (z[h + (h >= i)] @ slots))
+        g = sum(s >= found[c].local_i - 1e-10 for s in sims)
+        assert found[c].n_at_least == g and abs(found[c].min_sim - min(sims)) < 1e-10 and abs(found[c].max_sim - max(sims)) < 1e-10 and abs(found[c].permutation_mean - np.mean(sims)) < 1e-10
+
+
+def test_permutation_moments_are_those_of_random_orders(spark):
+    a = np.random.default_rng(3).normal(size=(7, 7))
+    found = runners.raster_global_permutations(RasterOperator(grid(spark, a), queen()), 2000, 1).first()
+    edges = RasterOperator(grid(spark, a).withColumn("id", F.col("row") * 7 + F.col("col")), queen()).edges("id")
+    exact = moran.moran(edges, grid(spark, a).select((F.col("row") * 7 + F.col("col")).alias("id"), "value")).first()
+    assert abs(found.EI_sim - exact.EI) < 4 * exact.VI_rand**0.5 / 2000**0.5 and abs(found.seI_sim / exact.VI_rand**0.5 - 1) < 0.08
+
+
+def test_batches_shuffle_by_themselves(spark):
+    a, b = (np.random.default_rng(k).normal(size=(5, 5)) for k in (4, 5))
+    both = grid(spark, a).withColumn("k", F.lit(0)).unionByName(grid(spark, b).withColumn("k", F.lit(1)))
+    joint = {(x.k, x.row, x.col): x for x in runners.raster_local(RasterOperator(both, rook(), keys=("k",)), 49, 7).collect()}
+    for k, one in ((0, a), (1, b)):  # a batch shuffles under seed + its index, and is a family of tests of its own
+        for x in runners.raster_local(RasterOperator(grid(spark, one), rook()), 49, 7 + k).collect():
+            y = joint[(k, x.row, x.col)]
+            assert (x.p_sim, x.p_fdr) == (y.p_sim, y.p_fdr) and abs(x.permutation_mean - y.permutation_mean) < 1e-12
+
+
+def test_few_values(spark):
+    values = with_positions(vector(spark).withColumnRenamed("value", "z"), ["id"]).withColumn("series", F.lit(0))
+    h, low, high = permute.shared_draws(values, 4, range(30), 11, {0: 5})[0]
+    assert (np.sort(h, 1) == np.arange(4)).all()
+    z = np.array(VALUES)
+    assert (low == z[h]).all() and (high == z[h + 1]).all()
     with pytest.raises(ValidationError):
-        permute.shared_draws(values, 5, 3, 1)
+        permute.local_conditional(values, values, 5, 3, 1)
 
 
 def test_local_vector_inference(spark):
-    found = runners.moran_local_inference(path_graph(spark, 8), vector(spark, [1.0, 2.0, 3.0, 9.0, 8.0, 7.0, 2.0, 1.0]), 19, 3)
+    values = [1.0, 2.0, 3.0, 9.0, 8.0, 7.0, 2.0, 1.0]
+    found = runners.moran_local_inference(path_graph(spark, 8), vector(spark, values), 19, 3)
     assert found.count() == 8 and found.where("p_sim between 0.05 and 0.5").count() == 8 and set(found.columns) >= {"cluster", "cluster_fdr", "p_fdr"}
+    panel = vector(spark, values).withColumn("variable", F.lit("a")).unionByName(vector(spark, values[::-1]).withColumn("variable", F.lit("b")))
+    every = {(r.variable, r.id): r for r in runners.moran_local_inference(path_graph(spark, 8), panel, 19, 3, keys=["variable"]).collect()}
+    for r in found.collect():
+        assert (every["a", r.id].p_sim, every["a", r.id].p_fdr) == (r.p_sim, r.p_fdr)
+    whole = runners.moran_permutations(path_graph(spark, 8), vector(spark, values), 19, 3).first()
+    assert abs(whole.I - moran.moran(path_graph(spark, 8), vector(spark, values)).first().I) < 1e-12 and 0.05 <= whole.p_sim <= 0.5
+    for bad in ([2.0] * 8, [1.0, math.nan, *values[2:]]):
+        with pytest.raises(Exception, match="constant|NaN"):
+            moran.moran_local(path_graph(spark, 8), vector(spark, bad)).collect()
+    with pytest.raises(ValidationError):
+        runners.moran_permutations(path_graph(spark, 9), vector(spark, values), 19, 3)
 
 
 def test_fdr(spark):
@@ -281,7 +364,15 @@ def test_fdr(spark):
         assert np.allclose(adjusted(method), values), method
     c = sum(1 / k for k in range(1, 6))
     assert np.allclose(adjusted("fdr_by"), [min(1, c * x) for x in want["fdr_bh"]])
-    assert np.allclose(adjusted("fdr_tsbh")[0], 0.005 * 3 / 5) and len(adjusted("fdr_tsbky")) == 5
+    assert np.allclose(adjusted("fdr_tsbh"), np.minimum(1, np.array(want["fdr_bh"]) * 3 / 5))  # two of five are rejected first
+    assert np.allclose(adjusted("fdr_tsbky"), np.minimum(1, np.array(want["fdr_bh"]) * 4 / 5 * 1.05))
+    few = spark.createDataFrame([(0, 0.001), (1, 0.002)], "id int, p double")  # all are rejected first: the factor stays
+    assert np.allclose(adjusted("fdr_tsbky", few), [0.0021, 0.0021]) and np.allclose(adjusted("fdr_tsbh", few), [0.002, 0.002])
+    ends = spark.createDataFrame([(0, 0.01), (1, 0.2), (2, 1.0), (3, 0.0)], "id int, p double")
+    for method in fdr.METHODS:
+        got = adjusted(method, ends)
+        if not method.startswith("fdr_ts"):
+            assert got[2] == 1 and got[3] == 0 and all(q >= x for q, x in zip(got, [0.01, 0.2, 1.0, 0.0], strict=True)), method
     ties = spark.createDataFrame([(0, 0.01), (1, 0.03), (2, 0.03), (3, 0.5)], "id int, p double")
     assert np.allclose(adjusted("fdr_bh", ties), [0.04, 0.04, 0.04, 0.5]) and np.allclose(adjusted("holm", ties), [0.04, 0.09, 0.09, 0.5])
     families = p.withColumn("f", F.col("id") % 2)
@@ -293,6 +384,54 @@ def test_fdr(spark):
         fdr.adjust_pvalues(p, "none")
 
 
+def brute_hommel(p):
+    """By its definition: the largest adjusted value over all intersections, by Simes."""
+    p = np.array(p)
+    out = []
+    for k in range(len(p)):
+        others, worst = np.delete(p, k), 0.0
+        for size in range(len(others) + 1):
+            chosen = np.sort(np.append(np.sort(others)[::-1][:size], p[k]))  # the worst set of its size
+            worst = max(worst, min(1.0, np.min((size + 1) * chosen / np.arange(1, size + 2))))
+        out.append(worst)
+    return out
+
+
+@pytest.mark.parametrize("rows", [None, 3])
+def test_fdr_over_ranges(spark, monkeypatch, rows):
+    """Families of any size, ranked in one task or over ranges of p-values."""
+    r = np.random.default_rng(8)
+    values = [(f, int(k), float(x)) for f in (0, 1, None) for k, x in enumerate(np.round(r.random(9 + (f or 0)) ** 3, 2))] + [(2, 0, 1.0), (3, 0, 0.0)]
+    if rows:
+        monkeypatch.setattr(fdr, "RANKED_A_TASK", rows)
+    table = spark.createDataFrame(values, "f int, id int, p double")
+    families = {f: [(k, x) for g, k, x in values if g == f] for f, _, _ in values}
+    for method in fdr.METHODS:
+        got = {(x.f, x.id): x.p_adjusted for x in fdr.adjust_pvalues(table, method, keys=["f"]).collect()}
+        assert len(got) == len(values)
+        for f, family in families.items():
+            p = np.array([x for _, x in family])
+            m, order = len(p), np.argsort(p, kind="stable")
+            up = lambda raw: np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1])
+            rank, x = np.arange(1, m + 1), p[order]
+            bh, h = up(x * m / rank), sum(1 / k for k in range(1, m + 1))
+            stage = {}
+            for name, factor in (("fdr_tsbh", 1.0), ("fdr_tsbky", 1.05)):
+                first = int((bh <= 0.05 / factor).sum())
+                stage[name] = np.minimum(1, up(x * m / rank) * (factor if first in (0, m) else (m - first) / m * factor))
+            want = {
+                "bonferroni": np.minimum(1, x * m), "sidak": 1 - (1 - x) ** m, "holm": np.minimum(1, np.maximum.accumulate(x * (m - rank + 1))), "holm-sidak": np.maximum.accumulate(1 - (1 - x) ** (m - rank + 1)),
+                "simes-hochberg": up(x * (m - rank + 1)), "fdr_bh": bh, "fdr_by": up(x * m / rank * h), "hommel": np.array(brute_hommel(x)), **stage,
+            }
+            assert np.allclose([got[f, family[k][0]] for k in order], want[method], atol=1e-9), (method, f)
+
+
+def test_harmonic_numbers(spark):
+    m = [1, 2, 63, 64, 1000, 100_000]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in m], "m long").select(fdr.harmonic(F.col("m"))).collect()]
+    assert np.allclose(got, [math.fsum(1 / k for k in range(1, x + 1)) for x in m], rtol=1e-14)
+
+
 def test_both_operators_follow_the_protocol(spark):
     from spatlas.operators.base import SpatialOperator
 
@@ -319,22 +458,31 @@ def test_interpretation(spark, tmp_path):
     local = spark.createDataFrame([("HH", True), ("LL", False), ("island", True), ("island", False), ("LH", True)], "quadrant string, significant boolean")
     counts = interpret.result_counts(local)
     assert tuple(counts.first()) == (5, 3, 0, 1, 2)
-    table = spark.createDataFrame([("rook", 4, 0, 1, 1, 1, 1, 1), ("queen", 9, 0, 3, 1, 1, 0, 0)], "stencil string, inferential long, nodata long, islands long, HH long, LH long, LL long, HL long")
+    run = [("rook", 0.5, 0.01, 9, 1, 10, 4, 0.4, 0, 1, 1, 1, 1, 1), ("queen", 0.4, 0.02, 9, 1, 10, 9, 0.9, 0, 3, 1, 1, 0, 0), ("d2_r2", 0.3, 0.03, 9, 0, 11, 0, 0.0, 0, 0, 0, 0, 0, 0)]
+    table = spark.createDataFrame(run, interpret.COMPARISON)
     fixed = interpret.canonical_comparison(table, counts.withColumn("stencil", F.lit("queen")))
-    assert interpret.interpretation(fixed)["queen"]["raw_total"] == 3
+    assert fixed.columns.index("raw_significant_total") == fixed.columns.index("inferential_significant") - 1 and "local_FDR_share" not in fixed.columns
+    told = interpret.interpretation(fixed, seed=7)
+    assert told["seed"] == 7 and told["operators"]["queen"] == {
+        "moran_i": 0.4, "p_sim": 0.02, "permutations": 9, "islands": 1, "valid_nonisland": 10, "raw_local_significant": 3, "significant_on_nodata": 0, "significant_on_islands": 1,
+        "inferential_local_fdr_significant": 2, "inferential_local_fdr_share": 0.2,
+    } and told["operators"]["rook"]["raw_local_significant"] == 5
     with pytest.raises(ValidationError):
         interpret.canonical_comparison(table)
     mask = spark.createDataFrame([(True, False, True, 1), (True, True, True, 0), (False, False, True, 2), (True, False, False, 3), (True, False, None, 3)], "v boolean, i boolean, s boolean, q int")
     assert [r[0] for r in mask.select(inferential_mask(F.col("v"), F.col("i"), F.col("s"), F.col("q"))).collect()] == [True, False, False, False, False]
     line = [tuple(r) for r in interpret.moran_scatter_line(spark, 0.5, -1.0, 2.0, 5).collect()]
     assert (0.0, 0.0) in line and len(line) == 6 and all(math.isclose(y, 0.5 * x) for x, y in line)
-    for bad in ((0.5, 1.0, 1.0), (math.nan, 0.0, 1.0), (0.5, 0.0, 1.0, 1)):
+    assert [tuple(r) for r in interpret.moran_scatter_line(spark, 0.5, 1.0, 1.0, 2).collect()] == [(1.0, 0.5)] * 2
+    for bad in ((0.5, 2.0, 1.0), (math.nan, 0.0, 1.0), (0.5, 0.0, math.inf), (0.5, 0.0, 1.0, 1)):
         with pytest.raises(ValidationError):
             interpret.moran_scatter_line(spark, *bad)
     write_json({"é": 1}, str(tmp_path / "m/metadata/example.json"))
     write_json({}, str(tmp_path / "m/manifest.json"))
     rows = interpret.manifest(spark, str(tmp_path / "m")).collect()
-    assert [(r.relative, r.artifact_type, r.condition) for r in rows] == [("metadata/example.json", "metadata", "supporting")]
+    assert [tuple(r)[0:2] + tuple(r)[3:] for r in rows] == [("metadata/example.json", (tmp_path / "m/metadata/example.json").stat().st_size, "metadata/json", "local-only", "")]
+    marked = interpret.manifest(spark, str(tmp_path / "m"), canonical=["metadata/.*"]).first()
+    assert marked.condition == "canonical" and len(marked.sha256) == 64
     assert files.hashed_files(spark, str(tmp_path / "m"), large=True).first().sha256 == files.hashed_files(spark, str(tmp_path / "m")).first().sha256
 
 
@@ -357,10 +505,12 @@ def test_audit(spark):
     rows = [(r * 6 + c, f"t{c // 3}", r, c % 3, r, c, float(c), 10.0 - r) for r in range(3) for c in range(6) if (r, c) != (2, 5)]
     g = spark.createDataFrame(rows, "cell_id long, tile_id string, row int, col int, grid_row int, grid_col int, lon double, lat double")
     found = audit.audit(g, g.select("cell_id", F.lit(1.0).alias("ntl")))
-    assert found["continuous"] and found["holes"] == 1 and found["cross_tile_horizontal"] == 3 and found["cross_tile_vertical"] == 0
-    assert math.isclose(found["row_lat_spearman"], -1) and math.isclose(found["col_lon_spearman"], 1)
-    assert "continuous" in audit_report(found)
-    assert not audit.audit(g.withColumn("row", F.lit(0)), g.limit(3).select("cell_id", F.lit(1.0).alias("ntl")))["continuous"]
+    assert found["continuous_national_index"] and found["holes"] == 1 and found["cross_tile_rook_edges_horizontal"] == 3 and found["cross_tile_rook_edges_vertical"] == 0
+    assert found["orientation"] == {"rows": "north_to_south", "columns": "west_to_east", "grid_row_lat_spearman": pytest.approx(-1), "grid_col_lon_spearman": pytest.approx(1)}
+    assert found["bounds"] == {"grid_row_min": 0, "grid_row_max": 2, "grid_col_min": 0, "grid_col_max": 5} and found["memory_estimates"]["float32"]["values_lag_local_i_bytes"] == 18 * 12
+    assert found["tile_h_v_constant_within_tile"] and "north_to_south" in audit_report(found)
+    two = audit.audit(g.withColumn("tile_h", F.col("col")).withColumn("row", F.lit(0)), g.limit(3).select("cell_id", F.lit(1.0).alias("ntl")))
+    assert not (two["continuous_national_index"] or two["tile_row_offset_constant"] or two["tile_h_v_constant_within_tile"])
 
 
 def test_synthetic_and_runtime(spark):
@@ -373,9 +523,6 @@ def test_synthetic_and_runtime(spark):
     p = synthetic.synthetic_panel(spark, 400, 2, 2, missing=True)
     assert p.where("isnan(value)").count() == 10 and abs(p.where("NOT isnan(value)").agg(F.stddev("value")).first()[0] - 1) < 0.1
     assert runners.benchmark_call(lambda: spark.range(10), 2)["repetitions"] == 2 and runners.diagnostics(spark)["spark"] == spark.version
-    assert runners.select_strategy() == "catalyst"
-    with pytest.raises(ValidationError):
-        runners.select_strategy("gpu")
     assert abs(spark.range(1).select(two_sided_p(F.lit(1.96)).alias("p")).first().p - 0.05) < 1e-4
 
 
