@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
-    return warc.page_records(warc.read_archives(spark, path, with_payload=False))
+    return warc.page_records(warc.salvage_archives(spark, path, f"{path}-gaps", with_payload=False))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spatlas.storage import stored
+
 CHUNK_BYTES, CHUNKS_A_FILE, LEVEL = 8 << 20, 4, 4
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -25,7 +27,7 @@ DATE = "1970-01-01T00:00:00Z"
 EMPTY_MEMBER = zlib.compressobj(LEVEL, zlib.DEFLATED, 31).flush()
 READ = (
     "kind string, file string, offset long, length long, reason string, record_id string, record_type string, refers_to string, "
-    "target_uri string, payload_digest string, payload_bytes long, payload binary"
+    "target_uri string, payload_digest string, payload_bytes long, payload binary, inner long, inner_length long"
 )
 
 
@@ -98,42 +100,40 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
 
 
 # ---------------------------------------------------------------- reading
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """A whole gzip member with a right checksum, and its end."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """What a gzip member holds, its end, and if it is whole and its checksum right."""
     unpacker, parts, begin = zlib.decompressobj(31), [], at
     try:
-        while not unpacker.eof:
-            if at >= len(data):
-                return None
+        while not unpacker.eof and at < len(data):
             piece = data[at : at + 16384]
             parts.append(unpacker.decompress(piece))
             at += len(piece)
     except zlib.error:
-        return None
-    end = at - len(unpacker.unused_data)
-    return b"".join(parts), max(end, begin + 1)
+        return b"".join(parts), begin + 1, False
+    return b"".join(parts), max(at - len(unpacker.unused_data), begin + 1), unpacker.eof
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
-    """The record at a place and its end, or what is wrong with it."""
-    if not VERSION.match(data, at):
+    """The record at a place and its end, or what is wrong with it. Headers are read line by line, so a false version line costs little."""
+    version = VERSION.match(data, at)
+    if not version:
         return "no version line"
-    head = data.find(b"\r\n\r\n", at)
-    if head < 0:
-        return "headers don't end"
-    fields = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    fields, begin = {}, version.end()
+    while (end := data.find(b"\r\n", begin)) != begin:
+        if end < 0:
+            return "headers don't end"
+        name, colon, value = data[begin:end].partition(b":")
         if not colon:
             return "header without colon"
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        begin = end + 2
     size = fields.get("content-length", "")
     if not size.isdigit() or "warc-type" not in fields or "warc-record-id" not in fields:
         return "required header missing"
-    begin, end = head + 4, head + 4 + int(size)
-    block = data[begin:end]
-    if len(block) < int(size) or data[end : end + 4] != b"\r\n\r\n":
+    begin, end = begin + 2, begin + 2 + int(size)
+    if end + 4 > len(data) or data[end : end + 4] != b"\r\n\r\n":
         return "truncated block"
+    block = data[begin:end]
     if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{_sha1(block)}":
         return "block digest differs"
     http, _, payload = block.partition(b"\r\n\r\n")
@@ -144,38 +144,66 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
     return {
         "record_id": fields["warc-record-id"].strip("<>"), "record_type": kind, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None,
         "target_uri": fields.get("warc-target-uri"), "payload_digest": digest.removeprefix("sha1:") or None,
-        "payload_bytes": int(stated[1]) if stated else len(payload), "payload": payload if kind != "revisit" else None,
+        "payload_bytes": int(stated[1]) if stated else len(payload), "payload": payload if kind != "revisit" else None, "checked": "warc-block-digest" in fields,
     }, end + 4
 
 
+def _plain_rows(data: bytes, whole: bool):
+    """Rows of the records in plain bytes and the gaps between them. Of bytes whose own check failed, only records with a block digest count."""
+    at, gap, why = 0, None, None
+    while at < len(data):
+        got = parse_record(data, at)
+        if not isinstance(got, str) and not whole and not got[0]["checked"]:
+            got = "no digest in a member that fails its check"
+        if isinstance(got, str):
+            gap, why = (at, got) if gap is None else (gap, why)
+            later = VERSION.search(data, at + 1)
+            at = later.start() if later else len(data)
+            continue
+        if gap is not None:
+            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
+            gap = None
+        yield {"kind": "record", "offset": at, "length": got[1] - at, **{k: v for k, v in got[0].items() if k != "checked"}}
+        at = got[1]
+    if gap is not None:
+        yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": why}
+
+
 def salvage(data: bytes):
-    """Rows of a whole archive: records, and the gaps between them that no valid record covers."""
+    """Rows of a whole archive: records, and the gaps that no valid record covers.
+
+    Offsets and lengths are of the archive; for records and gaps inside a gzip member they are the member's, with ``inner`` and
+    ``inner_length`` of its plain bytes if it holds more than one record. After a failed check the search goes on at the
+    next place that could start a member or a record, in the archive and within a member alike. Of a damaged member the records
+    before the damage are recovered if their block digests are right; its bytes up to the next valid record are a gap all the same."""
     view, at, gap, why = memoryview(data), 0, None, None
     while at < len(data):
-        got: tuple[dict, int] | str | None = None
+        rows, end = [], at
         if data[at : at + 3] == MAGIC:
-            plain = _inflate(view, at)
-            if plain is None:
-                got = "member fails its check"
-            elif not plain[0]:
-                got = ({}, plain[1])
-            else:
-                got = parse_record(plain[0])
-                if not isinstance(got, str):
-                    got = (got[0], plain[1]) if got[1] == len(plain[0]) else "bytes after the record"
+            plain, end, whole = _inflate(view, at)
+            rows = list(_plain_rows(plain, whole))
+            recovered = [r for r in rows if r["kind"] == "record"]
+            good = whole and (bool(recovered) or not plain)
+            single = good and len(rows) == 1
+            rows = [r | {"offset": at, "length": end - at if good else 0} | ({} if single else {"inner": r["offset"], "inner_length": r["length"]}) for r in (rows if good else recovered)]
+            fault = None if good else "no record in the member" if whole else "member fails its check"
         else:
             got = parse_record(data, at)
-        if isinstance(got, str):
-            gap, why = (at, got) if gap is None else (gap, why)
+            fault = got if isinstance(got, str) else None
+            if fault is None:
+                end = got[1]
+                rows = [{"kind": "record", "offset": at, "length": end - at, **{k: v for k, v in got[0].items() if k != "checked"}}]
+        if fault is not None:
+            gap, why = (at, fault) if gap is None else (gap, why)
+            yield from rows
             later = START.search(data, at + 1)
             at = later.start() if later else len(data)
             continue
         if gap is not None:
             yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
             gap = None
-        if got[0]:
-            yield {"kind": "record", "offset": at, "length": got[1] - at, **got[0]}
-        at = got[1]
+        yield from rows
+        at = end
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": why}
 
@@ -207,12 +235,21 @@ def _read(with_payload: bool):
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Rows of every archive under ``path``: kind ``record`` with its fields, or ``gap`` with file, offset, length and reason.
 
-    Files may be gzip members, plain records, or damaged mixtures of both; an empty file has no rows. A record is given only if its
-    member, framing and digests are right. Each file is read whole by one task, so writers should bound file sizes."""
+    Files may be gzip members of one or more records, plain records, or damaged mixtures of both; an empty file has no rows. A record is
+    given only if its framing and digests are right. Each file is read whole by one task, so writers should bound file sizes. A plain
+    record within the payload of a damaged plain record can't be told from a record of the archive."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_read(with_payload), READ)
 
 
+def salvage_archives(spark: SparkSession, path: str, log: str, with_payload: bool = True) -> DataFrame:
+    """The records of ``read_archives``; the archives are read once, and the quarantined gaps are written to the JSON table ``log`` (file, offset,
+    length, reason, inner, inner_length), which is empty if there are none."""
+    read = stored(read_archives(spark, path, with_payload), "warc-read")
+    read.where("kind = 'gap'").select("file", "offset", "length", "reason", "inner", "inner_length").coalesce(1).write.json(log)
+    return read.where("kind = 'record'")
+
+
 _ID = "nullif(substring_index({}, ':', -1), 'null')"
 
 

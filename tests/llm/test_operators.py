@@ -96,6 +96,48 @@ def test_warc_salvage():
     assert not warc.parse_record(records[0].replace(b"AAAA", b"AAAB"))[0:1] == ({},)
 
 
+def test_warc_salvage_within_members():
+    one = [warc.record(k, "u", f"payload {k} ".encode() * 50, "", None) for k in range(6)]
+    one = [r.replace(b"WARC-Payload-Digest: sha1:\r\n", b"") for r in one]
+    stream = warc.member(b"".join(one[:3]))  # several records in one member
+    rows = list(warc.salvage(stream))
+    assert [(r["kind"], r["record_id"], r["offset"], r["length"]) for r in rows] == [("record", f"urn:page:{k}", 0, len(stream)) for k in range(3)]
+    assert [(r["inner"], r["inner_length"]) for r in rows] == [(sum(map(len, one[:k])), len(one[k])) for k in range(3)]
+    broken = one[0] + one[1].replace(b"payload 1", b"damaged 1", 1) + one[2]
+    rows = list(warc.salvage(warc.member(broken)))
+    assert [(r["kind"], r["inner"], r["inner_length"]) for r in rows] == [("record", 0, len(one[0])), ("gap", len(one[0]), len(one[1])), ("record", len(one[0]) + len(one[1]), len(one[2]))]
+    big = [warc.record(k, "u", random.Random(k).randbytes(30_000), "", None).replace(b"WARC-Payload-Digest: sha1:\r\n", b"") for k in range(4)]
+    cut = bytearray(warc.member(b"".join(big)))
+    cut[75_000] ^= 255  # the records before the damage come back, the member is a gap up to the next one
+    rows = list(warc.salvage(bytes(cut) + warc.member(one[5])))
+    assert [r["record_id"] for r in rows if r["kind"] == "record"][:2] == ["urn:page:0", "urn:page:1"] and rows[-1]["record_id"] == "urn:page:5" and rows[-1]["offset"] == len(cut)
+    assert [(r["offset"], r["length"]) for r in rows if r["kind"] == "gap"] == [(0, len(cut))]
+    assert sum(r["length"] for r in rows) == len(cut) + len(warc.member(one[5]))
+    false = b"WARC/1.1\r\n" * 200_000  # many false starts cost little
+    assert [r["kind"] for r in warc.salvage(false + one[0])] == ["gap", "record"]
+
+
+def test_damaged_archives_through_spark(spark, tmp_path):
+    path = write(spark, tmp_path, PAGES)
+    files = sorted((tmp_path / "warc").glob("part-*.txt"))
+    target = max(files, key=lambda f: f.stat().st_size)
+    data = bytearray(target.read_bytes())
+    before = list(warc.salvage(bytes(data)))
+    records = [r for r in before if r["kind"] == "record"]
+    hurt = records[len(records) // 2]
+    data[hurt["offset"] + hurt["length"] // 2] ^= 255
+    for crc in (tmp_path / "warc").glob(".*.crc"):
+        crc.unlink()
+    target.write_bytes(bytes(data))
+    left = warc.salvage_archives(spark, path, str(tmp_path / "log"))
+    assert left.count() == len(PAGES) - 1
+    gaps = spark.read.schema("file string, offset long, length long, reason string").json(str(tmp_path / "log")).collect()
+    assert [(g.offset, g.length) for g in gaps] == [(hurt["offset"], hurt["length"])] and gaps[0].file.endswith(target.name) and gaps[0].reason
+    clash = spark.createDataFrame([(1, "u", "x", "d", 5, "p")], "page_id long, url string, html string, digest string, largest int, payload string")
+    warc.write_archives(clash, str(tmp_path / "clash"))
+    assert [tuple(r) for r in warc.page_records(warc.read_archives(spark, str(tmp_path / "clash"))).select("page_id", "payload_bytes").collect()] == [(1, 1)]
+
+
 def test_warc_large_member_ends_with_zero():
     data = b"".join(b.column(0)[0].as_py() for b in warc._members(iter([_pages_batch(17 << 20)])))
     rows = list(warc.salvage(data + b"\0"))
