@@ -1,4 +1,5 @@
-"""python -m spatlas audit GRID DAILY OUT | observed GRID DAILY OUT [VALUE] | permute GRID DAILY OUT [R] | interpret CSV LOCAL OUT | manifest FOLDER OUT | diagnose"""
+"""python -m spatlas audit GRID DAILY OUT | observed GRID DAILY OUT [VALUE] | permute GRID DAILY OUT [R] | interpret CSV LOCAL OUT | manifest FOLDER OUT | diagnose |
+validate EDGES VALUES OUT [R] | baseline EDGES VALUES OUT | benchmark OUT [N...] | panel OUT; EDGES is a Parquet table (i, j, w), VALUES one (id, value)"""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from spatlas.operators.stencil import RasterOperator, queen
-from spatlas.plans import audit, interpret, runners
+from spatlas.plans import audit, interpret, reports, runners
 from spatlas.sinks import audit_report, write_csv, write_json
 from spatlas.sources.files import hashed_files, read_csv
 from spatlas.sources.raster import read_raster, transformed
@@ -45,11 +46,28 @@ def main(args: list[str]) -> int:
         write_csv(interpret.manifest(spark, rest[0]), rest[1])
         return 0
     if job == "diagnose":
-        print(json.dumps(runners.diagnostics(spark), indent=2))
+        print(json.dumps(runners.diagnostics(spark) | {"memory": reports.memory_diagnostics(spark)}, indent=2))
+        return 0
+    if job == "validate":
+        found = reports.validation_run(spark.read.parquet(rest[0]), spark.read.parquet(rest[1]), int(rest[3]) if len(rest) > 3 else 999)
+        write_json(found, f"{rest[2]}/validation.json")
+        return 0 if found["deterministic"] else 1
+    if job == "baseline":
+        write_json({"results": reports.baseline_run({"edges": spark.read.parquet(rest[0])}, spark.read.parquet(rest[1]))}, f"{rest[2]}/baseline.json")
+        return 0
+    if job == "benchmark":
+        write_json(reports.benchmark_run(spark, tuple(map(int, rest[1:])) or (500, 1793)), f"{rest[0]}/benchmarks.json")
+        return 0
+    if job == "panel":
+        write_json(reports.panel_benchmark(spark), f"{rest[0]}/panel.json")
         return 0
     print(__doc__)
     return 1
 
 
-if __name__ == "__main__":
+def run() -> None:
     sys.exit(main(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    run()

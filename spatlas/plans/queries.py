@@ -548,9 +548,36 @@ def synthetic_grid(spark, sf_dir):
     return synthetic.synthetic_coordinates(spark, 1000, "grid").select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
 
 
-@query("synthetic_panel")
+def _uniform_sql(key: str) -> str:
+    return f"((('0x' || substr(md5({key}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def _normal_sql(key: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform_sql(key + " || ':a'")})) * cos(2 * pi() * {_uniform_sql(key + " || ':b'")}))"
+
+
+@query("synthetic_panel", f"SELECT i AS id, v::INT AS variable, p::INT AS period, v = 0 AND p = 0 AND i % 50 = 0 AS missing, CASE WHEN NOT (v = 0 AND p = 0 AND i % 50 = 0) THEN {rd(_normal_sql("'12345:' || i || ':' || v || ':' || p"), 'x').split(' AS x')[0]} END AS value FROM range(500) a(i) CROSS JOIN range(2) b(v) CROSS JOIN range(2) c(p)")
 def synthetic_panel(spark, sf_dir):
-    return synthetic.synthetic_panel(spark, 500, 2, 2, missing=True)
+    found = synthetic.synthetic_panel(spark, 500, 2, 2, missing=True).withColumn("missing", F.isnan("value"))
+    return rounded(found.withColumn("value", F.when(~F.col("missing"), F.col("value"))), "value")
+
+
+def _coordinates(spark, kind: str) -> DataFrame:
+    return rounded(synthetic.synthetic_coordinates(spark, 1000, kind).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y")), "x", "y")
+
+
+@query("synthetic_random", f"SELECT i AS id, {rd(_uniform_sql("'12345:x:' || i"), 'x')}, {rd(_uniform_sql("'12345:y:' || i"), 'y')} FROM range(1000) t(i)")
+def synthetic_random(spark, sf_dir):
+    return _coordinates(spark, "random")
+
+
+def _clustered_sql(axis: str) -> str:
+    return rd(f"{_uniform_sql(f"'12345:centre{axis}:' || c")} + 0.03::DOUBLE * {_normal_sql(f"'12345:{axis}:' || i")}", axis)
+
+
+@query("synthetic_clustered", f"SELECT i AS id, {_clustered_sql('x')}, {_clustered_sql('y')} FROM (SELECT i, ('0x' || substr(md5('12345:c:' || i), 1, 13))::BIGINT % 15 AS c FROM range(1000) t(i))")
+def synthetic_clustered(spark, sf_dir):
+    return _coordinates(spark, "clustered")
 
 
 @query("quadrant_labels", "SELECT k::TINYINT AS code, ['not valid', 'HH', 'LH', 'LL', 'HL', 'island'][k + 1] AS label FROM range(6) t(k)")

@@ -1,5 +1,6 @@
 """Operators against NumPy on small inputs, and the contracts of bad input."""
 
+import json
 import math
 from collections import Counter
 from datetime import datetime
@@ -12,7 +13,7 @@ from spatlas import schema
 from spatlas.functions import bijection, inferential_mask, two_sided_p
 from spatlas.operators import fdr, lag, moran, permute, weights
 from spatlas.operators.stencil import RasterOperator, Stencil, inverse_distance, queen, raster_weights, rook
-from spatlas.plans import audit, interpret, queries, runners
+from spatlas.plans import audit, interpret, queries, reports, runners
 from spatlas.schema import ValidationError
 from spatlas.sinks import audit_report, read_local, write_csv, write_json, write_local_parquet
 from spatlas.sources import files, synthetic
@@ -451,6 +452,11 @@ def test_command_line(spark, tmp_path):
     assert main(["audit", str(tmp_path / "g"), str(tmp_path / "d"), out + "/audit"]) == 0 and (tmp_path / "out/audit.md").exists()
     assert main(["permute", str(tmp_path / "g"), str(tmp_path / "d"), out, "9"]) == 0 and "p_sim" in (tmp_path / "out/permutations.json").read_text()
     assert main([]) == 1 and main(["other"]) == 1
+    path_graph(spark, 8).write.parquet(str(tmp_path / "e"))
+    vector(spark, [1.0, 2.0, 3.0, 9.0, 8.0, 7.0, 2.0, 1.0]).write.parquet(str(tmp_path / "v"))
+    assert main(["validate", str(tmp_path / "e"), str(tmp_path / "v"), out, "49"]) == 0
+    told = json.loads((tmp_path / "out/validation.json").read_text())
+    assert told["deterministic"] and told["quadrant_mismatches"] == 0 and told["local_p_mean_abs_difference"] < 0.2
 
 
 # ---------------------------------------------------------------- interpretation, audit, files
@@ -486,6 +492,24 @@ def test_interpretation(spark, tmp_path):
     assert files.hashed_files(spark, str(tmp_path / "m"), large=True).first().sha256 == files.hashed_files(spark, str(tmp_path / "m")).first().sha256
 
 
+def test_frames_and_reports(spark):
+    found = runners.moran_local_inference(path_graph(spark, 8), vector(spark, [1.0, 2.0, 3.0, 9.0, 8.0, 7.0, 2.0, 1.0]), 19, 3)
+    frame = reports.local_frame(found)
+    assert frame.columns == reports.FRAME and len(reports.FRAME) == 13 and frame.first().backend == "spark" and "n = 8" in reports.local_summary(found)
+    names = spark.createDataFrame([(k, f"n{k}") for k in range(8)], "id long, label string")
+    assert sorted(r.id for r in reports.local_frame(found, names).collect()) == [f"n{k}" for k in range(8)]
+    for bad in (names.limit(3), names.union(names), names.union(spark.createDataFrame([(9, "x")], names.schema))):
+        with pytest.raises(ValidationError):
+            reports.local_frame(found, bad)
+    assert "p_sim = None" in reports.global_summary(moran.moran(path_graph(spark, 8), vector(spark, [1.0, 2.0, 3.0, 9.0, 8.0, 7.0, 2.0, 1.0])).first())
+    assert reports.memory_diagnostics(spark)["total_bytes"] > 0
+    rows = reports.baseline_run({"path": path_graph(spark, 8)}, vector(spark, [1.0, 2.0, 3.0, 9.0, 8.0, 7.0, 2.0, 1.0]), (9,))
+    assert rows[0]["nnz"] == 14 and rows[0]["n"] == 8
+    timed = reports.benchmark_run(spark, (12,), 9, 1)["results"]
+    assert [r["operation"] for r in timed] == ["inverse_distance_and_lag", "global_moran_9"] and timed[0]["nnz"] == 132
+    assert reports.panel_benchmark(spark, 10, 2, 1, 9, 1)["repetitions"] == 1
+
+
 def test_sinks_and_csv(spark, tmp_path):
     local = moran.moran_local_raster(RasterOperator(grid(spark, np.arange(9.0).reshape(3, 3)).withColumn("cell_id", F.col("row") * 3 + F.col("col")), rook()))
     write_local_parquet(local, str(tmp_path / "local"))
