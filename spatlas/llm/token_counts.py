@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatlas.storage import stored
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1024
@@ -41,9 +43,11 @@ def _counted(path: str):
 
 
 def length_histogram(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(n_tokens, n_docs) over all rows of ``documents`` (text). Null and empty texts have no tokens and are counted at 0; repeated
-    rows count each time; other columns aren't read; an empty table gives no rows. ``tokenizer`` must be on every executor."""
-    return documents.select("text").mapInArrow(_counted(tokenizer), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    """(n_tokens, n_docs) over all rows of ``documents`` (text), stored, so that texts are encoded once whatever is asked of it. Null and
+    empty texts have no tokens and are counted at 0; repeated rows count each time; other columns aren't read; an empty table
+    gives no rows. ``tokenizer`` must be on every executor."""
+    counts = documents.select("text").mapInArrow(_counted(tokenizer), "n_tokens long, n_docs long")
+    return stored(counts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "length-histogram")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
