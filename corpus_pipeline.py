@@ -1,4 +1,7 @@
-"""A training-data pipeline over ``documents``: each stage gets what the one before kept, written as Parquet and read again."""
+"""A training-data pipeline over ``documents``: each stage gets what the one before kept, written as Parquet and read again.
+
+In every stage a null text is an empty one, rows equal in doc_id and text are treated alike, a null doc_id is an id that sorts last, whole
+texts are read, other columns than ``COLUMNS`` are left behind before the first stage (so their names can't clash), and an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -23,17 +26,18 @@ def _chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the current policy rejects."""
+    """Documents that no rule of the current policy rejects; texts without words fail it. The ledger is stored with the documents and read by the policy."""
     return quality_rules.verdict(quality_rules.ledger(docs, keep=COLUMNS), "v2").where("kept").select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of templates that recur across documents; n_chars follows the text."""
+    """All documents, without the lines of templates that recur across documents; n_chars follows the text. A text can become empty, its row stays."""
     return line_dedup(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id. Documents without words all stay."""
+    """One document of each group of near duplicates: that of the smallest doc_id, of equal ids that of the smallest hash. Repeated rows are one; documents
+    without words all stay, but for repeated rows."""
     found = ngram_join(docs)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.uid")
@@ -42,13 +46,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
+    """Documents that share no window of words with a benchmark item; repeated rows stay or go together."""
     found = winnow(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _chosen(docs, found.where("NOT contaminated").select("doc_id", "uid").distinct()).select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample: documents with the copies that the calibrated weights give them, at least one."""
+    """The sample: documents with the copies that the calibrated weights give them, at least one, and topic, n_tokens and weight beside them."""
     return mixing.mix(docs, share=0.5, power=0.5, seed=7, keep=COLUMNS).where("n_copies > 0")
 
 

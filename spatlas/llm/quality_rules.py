@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spatlas.storage import stored
+
 SPACE = "[\\x20\\x09-\\x0D]"
 #: (name, SQL condition of failure over the measurements). A rule's bit is its place: append, never reorder.
 RULES = [
@@ -56,13 +58,14 @@ def measure(documents: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def ledger(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (by default doc_id), the measurements, and ``failed``: the bits of the rules that each row of ``documents`` fails.
+    """``keep`` (by default doc_id), the measurements, and ``failed``: the bits of the rules that each row of ``documents`` fails; stored.
 
-    One row per row: repeated rows, null ids and null texts (which have no words) are measured like others. Columns that
-    are not in ``keep`` aren't read, so their names can't clash; those in ``keep`` must not be named like a measurement."""
-    # the last term keeps filters on the result above this step: pushed below, they would compute the measurements again for each word
-    bits = "spark_partition_id() * 0L + " + " + ".join(f"CASE WHEN {rule} THEN {1 << k}L ELSE 0L END" for k, (_, rule) in enumerate(RULES))
-    return measure(documents, keep or ["doc_id"]).withColumn("failed", F.expr(bits))
+    Texts are measured once, whatever policies and ablations read the ledger. One row per row: repeated rows, null ids and null texts
+    (which have no words) are measured like others. Columns that are not in ``keep`` aren't read, so their names can't clash; those
+    in ``keep`` that are named like a measurement are replaced by it."""
+    keep = [c for c in dict.fromkeys(keep or ["doc_id"]) if c not in (*MEASURES, "failed", "base_failed", "kept")]
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << k}L ELSE 0L END" for k, (_, rule) in enumerate(RULES))
+    return stored(measure(documents, keep).withColumn("failed", F.expr(bits)), "rule-ledger")
 
 
 def verdict(entries: DataFrame, policy: str = "v2") -> DataFrame:
@@ -84,7 +87,7 @@ def ablation(entries: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
-ORACLE = f"""
+_MEASURED = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
 p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS a FROM w),
@@ -95,7 +98,22 @@ l AS (SELECT r, count(*) AS n, count(DISTINCT x) AS k FROM (SELECT r, unnest(str
 q AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n - l.k, 0)::BIGINT AS n_dup_lines,
   coalesce(m.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper
-  FROM w LEFT JOIN m USING (r) LEFT JOIN l USING (r))
+  FROM w LEFT JOIN m USING (r) LEFT JOIN l USING (r))"""
+ORACLE = f"""{_MEASURED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({RULES[0][1]}) OR ({RULES[1][1]}) AS base_failed,
   NOT ({" OR ".join(f"({rule})" for k, (_, rule) in enumerate(RULES) if POLICIES["v2"] >> k & 1)}) AS kept
 FROM q"""
+
+
+def _ablation_sql() -> str:
+    """For each policy and rule, counted over the rules' conditions rather than bits."""
+    parts = []
+    for policy, mask in POLICIES.items():
+        held = {name: rule for k, (name, rule) in enumerate(RULES) if (mask | BASE) >> k & 1}
+        for name, rule in held.items():
+            others = " OR ".join(f"({r})" for n, r in held.items() if n != name)
+            parts.append(f"SELECT '{policy}' AS policy, '{name}' AS rule, count(*) FILTER ({rule}) AS n_failed, count(*) FILTER (({rule}) AND NOT ({others})) AS n_only, count(*) FILTER (NOT ({others})) AS n_kept_without FROM q")
+    return f"{_MEASURED} " + " UNION ALL ".join(parts)
+
+
+ABLATION_ORACLE = _ablation_sql()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from one ledger."""
+    entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    each = [quality_rules.ablation(entries, policy).select(F.lit(policy).alias("policy"), "*") for policy in quality_rules.POLICIES]
+    return reduce(DataFrame.union, each)
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.winnow(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, gram=5)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -71,8 +79,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"quality_ablation": quality_ablation}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_salvage": warc.ORACLE, "op4_ngram_join": join.ORACLE, "op6_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op8_winnowing": winnowing.ORACLE}
+    return {"op1_warc_salvage": warc.ORACLE, "op4_ngram_join": join.ORACLE, "op6_license_scan": license_scan.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "quality_ablation": quality_rules.ABLATION_ORACLE, "op8_winnowing": winnowing.ORACLE}
