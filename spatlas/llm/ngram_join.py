@@ -33,6 +33,8 @@ CELL_BITS, CHUNK_BITS = 22, 16
 NEED_BITS = 25
 #: Nodes of a signature, and bytes of their parity bits, that are compared with as many others in one task.
 BLOCK_NODES, BLOCK_BYTES = 4096, 16 << 20
+#: A node's smallest groups that are known wherever it is compared.
+LOW = 16
 #: Pairs that one verifying task compares with one set.
 SALT_EVERY = 1000
 SCANNED = ["doc_id", "uid", "node", "n", "bits", "part", "blob"]
@@ -253,21 +255,40 @@ def _nearest(pairs: np.ndarray, differ: np.ndarray, total: np.ndarray) -> np.nda
     return pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]]
 
 
-def _group_pairs(node, n, comp, bits, sizes, left, right, percent: int, nearest: bool) -> Iterator[np.ndarray]:
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of at most LOW numbers as rows, filled up with the largest number."""
+    offsets = lists.offsets.to_numpy()
+    counts = np.diff(offsets)
+    out = np.full((len(lists), LOW), np.iinfo(np.int64).max)
+    row = np.repeat(np.arange(len(lists)), counts)
+    out[row, np.arange(counts.sum()) - np.repeat(offsets[:-1] - offsets[0], counts)] = lists.flatten().to_numpy()
+    return out
+
+
+def _elsewhere(low: np.ndarray, p: np.ndarray, q: np.ndarray, grp: int) -> np.ndarray:
+    """Which pairs of rows are surely together in a smaller group, too, where they are looked at instead."""
+    out = np.zeros(len(p), bool)
+    for k in range(LOW):
+        own = low[p, k]
+        out |= (own < grp) & (low[q] == own[:, None]).any(1)
+    return out
+
+
+def _group_pairs(node, n, comp, bits, sizes, low, grp: int, left, right, percent: int, nearest: bool) -> Iterator[np.ndarray]:
     """Pairs of a row of ``left`` and one of ``right`` (row numbers) in different components that neither sizes nor parity bits rule out; or the nearest
-    such of each row that is compared.
+    such of each row that is compared. Near copies meet in many groups: a pair is left to the smallest, as far as both rows' smallest groups show.
 
     Rows of the largest component are only compared with the others. Sets that may be alike have tables of one size
     or sizes a factor of 2 apart, of which the finer is joined to the coarser."""
     both = left if left is right else np.concatenate([left, right])
     names, counts = np.unique(comp[both], return_counts=True)
     largest = names[counts.argmax()]
-    yield from _few_pairs(node, n, comp, bits, sizes, left[comp[left] != largest], right, percent, nearest)
+    yield from _few_pairs(node, n, comp, bits, sizes, low, grp, left[comp[left] != largest], right, percent, nearest)
     if left is not right:
-        yield from _few_pairs(node, n, comp, bits, sizes, right[comp[right] != largest], left, percent, nearest)
+        yield from _few_pairs(node, n, comp, bits, sizes, low, grp, right[comp[right] != largest], left, percent, nearest)
 
 
-def _few_pairs(node, n, comp, bits, sizes, few, rows, percent: int, nearest: bool) -> Iterator[np.ndarray]:
+def _few_pairs(node, n, comp, bits, sizes, low, grp: int, few, rows, percent: int, nearest: bool) -> Iterator[np.ndarray]:
     for size in np.unique(sizes[few]):
         own = few[sizes[few] == size]
         words = _bit_rows(bits, own, int(size))
@@ -290,8 +311,10 @@ def _few_pairs(node, n, comp, bits, sizes, few, rows, percent: int, nearest: boo
                     p, q = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
                     differ = np.bitwise_count(mine[i + p] ^ other[q]).sum(1, dtype=np.int64)
                     near = (100 + percent) * differ <= (100 - percent) * (n[left[p]] + n[every[q]])
-                    if near.any():
-                        p, q, differ = left[p[near]], every[q[near]], differ[near]
+                    p, q, differ = left[p[near]], every[q[near]], differ[near]
+                    here = ~_elsewhere(low, p, q, grp)
+                    if here.any():
+                        p, q, differ = p[here], q[here], differ[here]
                         pairs = np.stack([node[p], node[q]], 1)
                         yield _nearest(pairs, differ, n[p] + n[q]) if nearest else pairs
 
@@ -307,15 +330,15 @@ def _across(percent: int, nearest: bool):
 
         def pairs_of(table: pa.Table) -> pa.RecordBatch:
             node, n, comp, own, x, y = (table.column(c).to_numpy() for c in ("node", "n", "comp", "own", "x", "y"))
-            bits = table.column("bits").combine_chunks()
-            bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
+            bits, low = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (table.column(k).combine_chunks() for k in ("bits", "low")))
+            low, grp = _padded(low), table.column("grp").to_numpy()
             sizes = pa.compute.binary_length(bits).to_numpy(zero_copy_only=False)
             found, cuts = [], [*starts_of(table), table.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 rows = np.arange(a, b)
                 left, right = (rows, rows) if x[a] == y[a] else (rows[own[a:b] == x[a]], rows[own[a:b] == y[a]])
                 if b - a > 1 and len(left) and len(right):
-                    found += _group_pairs(node, n, comp, bits, sizes, left, right, percent, nearest)
+                    found += _group_pairs(node, n, comp, bits, sizes, low, int(grp[a]), left, right, percent, nearest)
             pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -473,7 +496,8 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
         split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), blocks).where("x <> y").select("grp", "blocks")
         mixed = labelled.join(split, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
         dealt = mixed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        placed = dealt.join(parity.select("node", "bits"), "node").select("grp", "x", "y", "own", "node", "n", "comp", "bits")
+        lowest = mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("grp")), 1, LOW).alias("low"))
+        placed = dealt.join(parity.select("node", "bits").join(lowest, "node"), "node").select("grp", "x", "y", "own", "node", "n", "comp", "bits", "low")
         across = placed.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(_across(percent, nearest), "a long, b long").distinct()
         rest = stored(across.join(tried, ["a", "b"], "left_anti"), "join-rest")
         links = links.union(stored(verify(docs, rest, width, percent), "join-links"))

@@ -339,6 +339,7 @@ def test_ngram_join(spark, monkeypatch, usual):
     if usual == 0:
         monkeypatch.setattr(ngram_join, "_classes", lambda parts: np.full(1 << ngram_join.CELL_BITS, 1, np.uint8))
         monkeypatch.setattr(ngram_join, "BLOCK_NODES", 6)  # groups are compared block by block
+        monkeypatch.setattr(ngram_join, "LOW", 3)
     got = rows_of(ngram_join.ngram_join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id"))
     assert got == brute_components(rows)
 
