@@ -21,9 +21,13 @@ def row_uid(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """Buckets follow the session's shuffle width, which a cluster sizes to its data."""
-    return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of packed records that a bucket has at most, if keys are spread evenly.
+BUCKET_BYTES = 64 << 20
+
+
+def n_buckets(spark: SparkSession, size: int) -> int:
+    """Buckets for so many bytes of records: as the data grow there are more, not larger ones, and a task takes one or a few of them."""
+    return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 # ---------------------------------------------------------------- Arrow text

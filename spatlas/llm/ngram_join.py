@@ -479,7 +479,10 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = scanned.where("part is null").select("doc_id", "uid", "node", F.col("n").alias("n_shingles"))
     parity = scanned.where("bits IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
     cells = spark.sparkContext.broadcast(_classes(scanned.where("part is not null").select("part", "blob")))
-    index = docs.select("text").mapInArrow(_index(width, percent, cells, n_buckets(spark)), "bucket long, blob binary")
+    # a set has about as many signatures as tokens
+    tokens = scanned.where("bits IS NOT NULL").agg(F.sum("n")).first()[0] or 0
+    buckets = n_buckets(spark, TOKEN.itemsize * tokens)
+    index = docs.select("text").mapInArrow(_index(width, percent, cells, buckets), "bucket long, blob binary").repartition(buckets, "bucket")
     found = stored(index.groupBy("bucket").applyInArrow(_candidates(percent), CANDIDATES), "join-candidates")
     cells.unpersist()
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), "join-pairs")

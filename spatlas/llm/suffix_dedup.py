@@ -441,12 +441,13 @@ def suffix_dedup(documents: DataFrame, length: int = 100) -> DataFrame:
     than ``length`` stay whole. Other columns, whatever their names, are not read. An empty table gives an empty result."""
     if length < 2 * SEED:
         raise ValueError(f"length must be at least {2 * SEED}")
-    buckets = n_buckets(documents.sparkSession)
+    # blocks and suffixes that are compared come with about as many bytes as the texts have
+    buckets = n_buckets(documents.sparkSession, documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     docs = documents.select(F.col("doc_id").cast("long"), "text", row_uid().bitwiseAND(F.lit(0xFFFFFFFF)).alias("uid"))
     named = docs.select(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("d"), "uid", "doc_id", "text")
 
     def solved(rows: DataFrame, solve) -> DataFrame:
-        return rows.groupBy("bucket").applyInArrow(lambda table: _parted(table, solve), MARKS)
+        return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda table: _parted(table, solve), MARKS)
 
     def joined(marks: DataFrame, how: str) -> DataFrame:
         by_doc = marks.groupBy(F.col("doc_id").alias("d"), "uid").agg(F.collect_list("marks").alias("marks"))
