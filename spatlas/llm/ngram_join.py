@@ -460,7 +460,9 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     ends = salted.union(own)
     wanted = spark.sparkContext.broadcast(node_filter(ends.select(F.col("b").alias("node"))))
     sets = docs.select("text").mapInArrow(_sets(width, wanted), "b long, tokens binary")
-    return ends.join(sets, "b").groupBy("a", "salt").applyInArrow(_verified(percent), "a long, b long")
+    found = stored(ends.join(sets, "b").groupBy("a", "salt").applyInArrow(_verified(percent), "a long, b long"), "join-links")
+    wanted.destroy()
+    return found
 
 
 def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -484,28 +486,31 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = n_buckets(spark, TOKEN.itemsize * tokens)
     index = docs.select("text").mapInArrow(_index(width, percent, cells, buckets), "bucket long, blob binary").repartition(buckets, "bucket")
     found = stored(index.groupBy("bucket").applyInArrow(_candidates(percent), CANDIDATES), "join-candidates")
-    cells.unpersist()
+    cells.destroy()
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), "join-pairs")
     likely = stored(possible(pairs, parity, percent), "join-likely")
-    links = stored(verify(docs, likely, width, percent), "join-links")
+    links = verify(docs, likely, width, percent)
     groups = stored(found.where("grp is not null").select("grp", "node", "n").distinct(), "join-groups")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # at first only each node's nearest of another component: what is alike is then mostly joined, and few pairs are left for the last round
+    labels = components(links, "join-components")
     for nearest in (True, False):
-        labels = components(links, "join-components")
         labelled = groups.join(labels, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("comp"))
         # parity bits have half a byte a token at most
         blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / (2 * BLOCK_BYTES))).cast("int").alias("blocks")
         split = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), blocks).where("x <> y").select("grp", "blocks")
-        mixed = labelled.join(split, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+        mixed = stored(labelled.join(split, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)")), "join-mixed")
         dealt = mixed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
         lowest = mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("grp")), 1, LOW).alias("low"))
         placed = dealt.join(parity.select("node", "bits").join(lowest, "node"), "node").select("grp", "x", "y", "own", "node", "n", "comp", "bits", "low")
         across = placed.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(_across(percent, nearest), "a long, b long").distinct()
         rest = stored(across.join(tried, ["a", "b"], "left_anti"), "join-rest")
-        links = links.union(stored(verify(docs, rest, width, percent), "join-links"))
-        tried = tried.union(rest)
-    labels = components(links, "join-components")
+        if not rest.limit(1).count():
+            continue
+        tried, new = tried.union(rest), verify(docs, rest, width, percent)
+        if new.limit(1).count():
+            links = links.union(new)
+            labels = components(links, "join-components")
     own = nodes.join(labels, "node", "left").select("doc_id", "uid", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = own.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id", "uid", "component")
