@@ -562,3 +562,82 @@ def test_observed_run_and_stream(spark, tmp_path):
     stream_days(spark, str(tmp_path / "days"), "cell_id long, day int, ntl double", places, str(tmp_path / "i"), str(tmp_path / "c")).awaitTermination(120)
     got = {r.day: r.I for r in spark.read.parquet(str(tmp_path / "i")).collect()}
     assert abs(got[1] - moran.moran_global_raster(RasterOperator(cells, queen())).first().I) < 1e-10 and len(got) == 2
+
+
+def brute(x, ids, k=None, threshold=None):
+    """{(i, j): d2} of all pairs, by a loop over dimensions, ties to the smaller id."""
+    d2 = np.zeros((len(x), len(x)))
+    for c in x.T:
+        d2 += (c[:, None] - c[None, :]) ** 2
+    np.fill_diagonal(d2, np.nan)
+    out = {}
+    for a in range(len(x)):
+        order = [b for b in np.lexsort((ids, d2[a])) if b != a][:k]
+        out |= {(int(ids[a]), int(ids[b])): d2[a, b] for b in order if threshold is None or d2[a, b] <= threshold * threshold}
+    return out
+
+
+def scattered(spark, d, n=260):
+    """Points of which some are close to others, far from the origin, with equal distances, and ids of both signs."""
+    r = np.random.default_rng(d)
+    x = r.normal(size=(n, d)) + 100
+    x[: n // 4] = np.round(x[: n // 4] * 4) / 4 + np.arange(n // 4)[:, None] * 8
+    x[n // 4 : n // 2] = x[n // 2 : n // 2 + n // 2 - n // 4] + r.normal(size=(n // 2 - n // 4, d)) * 1e-7
+    ids = r.permutation(n) * (1 << 40) - (1 << 48)
+    return x, ids, spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "id long, coords array<double>")
+
+
+@pytest.mark.parametrize("d", [1, 2, 9])
+def test_nearest_in_blocks_equal_brute_force(spark, d):
+    x, ids, table = scattered(spark, d)
+    for k, threshold in ((1, None), (8, None), (8, 1.0)):
+        want = brute(x, ids, k, threshold)
+        found = {(r.i, r.j): r.d2 for r in weights.neighbour_pairs(table, threshold, k).collect()}
+        assert found == want
+
+
+@pytest.mark.parametrize("d", [2, 9])
+def test_row_summaries_equal_edges(spark, d):
+    """All pairs and bands: the rows that edges sum to, n = 0 for islands."""
+    x, ids, table = scattered(spark, d, 120)
+    for threshold, power, binary, standard in ((None, 2.0, False, True), (2.0, 2.0, False, True), (2.0, 1.0, False, False), (2.0, 2.0, True, False)):
+        edges = {(r.i, r.j): r.w for r in weights.inverse_distance_weights(table, power, threshold, None, standard, binary).collect()}
+        assert edges.keys() == brute(x, ids, None, threshold).keys()
+        rows = {r.i: r for r in weights.row_summaries(table, power, threshold, standard, binary).collect()}
+        assert rows.keys() == set(ids.tolist())
+        for i, r in rows.items():
+            own = {j: w for (a, j), w in edges.items() if a == i}
+            assert (r.n, r.sum_j) == (len(own), sum(own))
+            got = (r.sum_w, r.sum_wj, r.min_w or 0.0, r.max_w or 0.0)
+            assert np.allclose(got, (sum(own.values()), sum(j * w for j, w in own.items()), min(own.values(), default=0), max(own.values(), default=0)), rtol=1e-9, atol=1e-12)
+        full = weights.inverse_distance_weights(table, power, threshold, None, standard, binary)
+        a, b = weights.weight_diagnostics(full, table).first().asDict(), weights.summary_diagnostics(weights.row_summaries(table, power, threshold, standard, binary)).first().asDict()
+        assert a.keys() == b.keys() and all(math.isclose(a[c], b[c], rel_tol=1e-9) for c in a)
+
+
+def test_band_queries_make_no_edges(spark, tmp_path):
+    """The plans of the dense queries neither shuffle nor join pairs, so disk and rows grow as the points do."""
+    r = np.random.default_rng(8)
+    spark.createDataFrame([(k, [float(v) for v in r.normal(size=6)], k % 3) for k in range(50)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("idw_full", "idw_threshold", "idw_binary", "distance_band_weights", "weight_diagnostics"):
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "CartesianProduct" not in plan, name
+    for name in ("idw_knn", "idw_power1", "transform_b"):  # pairs come ranked from the task that holds them all
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" not in plan and "Window" not in plan, name
+
+
+def test_many_points_are_not_joined(spark, monkeypatch):
+    """The catalyst strategy gives the same pairs in blocks, beyond the size that a join of all pairs is for."""
+    x, ids, table = scattered(spark, 5, 60)
+    joined = {tuple(r) for r in weights.neighbour_pairs(table, k=6, strategy="catalyst").collect()}
+    monkeypatch.setattr(weights, "JOINED", 10)
+    found = weights.neighbour_pairs(table, k=6, strategy="catalyst")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == joined and len(joined) == 360
+
+
+def test_repeated_ids_are_not_their_own_neighbours(spark):
+    table = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.1, 0.0]), (2, [5.0, 0.0]), (3, [6.0, 0.0])], "id long, coords array<double>")
+    assert {(r.i, r.j) for r in weights.neighbour_pairs(table, k=1).collect()} == {(1, 2), (2, 3), (3, 2)}
+    assert {r.i: r.n for r in weights.row_summaries(table, threshold=1.5).collect()} == {1: 0, 2: 1, 3: 1}
