@@ -641,3 +641,19 @@ def test_repeated_ids_are_not_their_own_neighbours(spark):
     table = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.1, 0.0]), (2, [5.0, 0.0]), (3, [6.0, 0.0])], "id long, coords array<double>")
     assert {(r.i, r.j) for r in weights.neighbour_pairs(table, k=1).collect()} == {(1, 2), (2, 3), (3, 2)}
     assert {r.i: r.n for r in weights.row_summaries(table, threshold=1.5).collect()} == {1: 0, 2: 1, 3: 1}
+
+
+def test_stencil_over_tiles(spark):
+    """Cells meet across the borders of tiles, on both sides of zero, and a task's rows don't multiply before they are dealt."""
+    r = np.random.default_rng(6)
+    a, mask = r.normal(size=(9, 150)), r.random((9, 150)) < 0.8
+    for stencil in (rook(), inverse_distance(2), Stencil("far", [(0, 40, 1.0), (3, -33, 2.0)])):
+        moved = grid(spark, a, mask).withColumns({"row": F.col("row") - 4, "col": F.col("col") - 70})
+        plain = RasterOperator(moved, stencil).apply()
+        got = {(x.row + 4, x.col + 70): x.lag for x in plain.where("valid").collect()}
+        cells, w = stencil_matrix(mask, stencil)
+        total = w.sum(1)
+        want = np.divide(w @ np.array([a[c] for c in cells]), total, out=np.zeros(len(cells)), where=total > 0)
+        assert len(got) == len(cells) and np.allclose([got[c] for c in cells], want)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert plain._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
