@@ -657,3 +657,20 @@ def test_stencil_over_tiles(spark):
         assert len(got) == len(cells) and np.allclose([got[c] for c in cells], want)
     assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert plain._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+
+
+def test_global_values_reach_tasks_by_file(spark, monkeypatch):
+    """Several blocks a series, and nothing collected or broadcast: the driver never holds all values."""
+    r = np.random.default_rng(9)
+    rows = [(s, k, float(r.normal() + s)) for s, n in ((0, 23), (3, 40)) for k in range(n)]
+    values = spark.createDataFrame(rows, "series int, pos long, value double").repartition(5)
+    edges = spark.createDataFrame([(k, (k + 1) % 23, 1.0) for k in range(23)], "i long, j long, w double")
+    whole = {(x.series, x.rep): x.sim for x in permute.simulate_global(edges, values, 19, 3).collect()}
+    monkeypatch.setattr(permute, "PLACES", 7)
+    monkeypatch.setattr(permute, "_dense", lambda *a: pytest.fail("values on the driver"))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: pytest.fail("values are broadcast"))
+    cut = {(x.series, x.rep): x.sim for x in permute.simulate_global(edges, values, 19, 3).collect()}
+    assert len(cut) == 40 and all(math.isclose(cut[k], whole[k], rel_tol=1e-9, abs_tol=1e-12) for k in whole)
+    z = np.array([x[2] for x in rows[:23]])
+    z = z - z.mean()
+    assert math.isclose(cut[0, -1], (z * np.roll(z, -1)).sum() / (z @ z), rel_tol=1e-9)
