@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spatlas import schema
 from spatlas.functions import bijection, inferential_mask, two_sided_p
-from spatlas.operators import fdr, lag, moran, permute, weights
+from spatlas.operators import blocks, fdr, lag, moran, permute, weights
 from spatlas.operators.stencil import RasterOperator, Stencil, inverse_distance, queen, raster_weights, rook
 from spatlas.plans import audit, interpret, queries, reports, runners
 from spatlas.schema import ValidationError
@@ -674,3 +674,31 @@ def test_global_values_reach_tasks_by_file(spark, monkeypatch):
     z = np.array([x[2] for x in rows[:23]])
     z = z - z.mean()
     assert math.isclose(cut[0, -1], (z * np.roll(z, -1)).sum() / (z @ z), rel_tol=1e-9)
+
+
+def test_neighbours_are_found_once(spark, tmp_path):
+    """What standardizes or transforms nearest neighbours reads them again, and doesn't compare the points again."""
+    r = np.random.default_rng(8)
+    spark.createDataFrame([(k, [float(v) for v in r.normal(size=6)], k % 3) for k in range(50)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("idw_knn", "knn_weights", "idw_power1", "idw_knn_and_threshold", "transform_d", "transform_v", "transform_b"):
+        if name == "knn_weights":  # 50 points are few enough for a join of all
+            plan = weights.knn_weights(queries.points(spark, str(tmp_path)), k=6)._jdf.queryExecution().executedPlan().toString()
+        else:
+            plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan, name
+
+
+def test_ties_are_gathered_in_pieces(monkeypatch):
+    """Thousands of equal distances: the coordinates of a bounded number of pairs are held at once, in tiles that don't divide the block."""
+    n, d, k = 300, 300, 5
+    base = np.zeros(n, np.dtype([("id", "<i8"), ("x", "<f8", (d,))]))
+    base["id"], base["x"] = np.random.default_rng(4).permutation(n), np.eye(n)
+    gathered, exact = [], blocks._exact_of
+    monkeypatch.setattr(blocks, "TILE", (64, 128))
+    monkeypatch.setattr(blocks, "GATHERED", 1000)
+    monkeypatch.setattr(blocks, "_exact_of", lambda a, b: gathered.append(len(a)) or exact(a, b))
+    found = blocks._Nearest(blocks.Points("", n, d, np.full(d, 0.5), 1.0, False), base, 0, k)
+    for first in (0, 200):
+        found.meet(base[first : first + 200], first)
+    least = np.arange(k)[None, :] + (np.arange(k)[None, :] >= base["id"][:, None])
+    assert max(gathered) <= 1000 and (found.d2 == 2).all() and (found.j == least).all()
