@@ -702,3 +702,23 @@ def test_ties_are_gathered_in_pieces(monkeypatch):
         found.meet(base[first : first + 200], first)
     least = np.arange(k)[None, :] + (np.arange(k)[None, :] >= base["id"][:, None])
     assert max(gathered) <= 1000 and (found.d2 == 2).all() and (found.j == least).all()
+
+
+def test_first_block_leaves_few_candidates(monkeypatch):
+    """What a tile shows of the k-th distance holds for the block's next tiles, also before any pair is merged."""
+    n, d, k = 4096, 64, 8
+    own = np.zeros(n, np.dtype([("id", "<i8"), ("x", "<f8", (d,))]))
+    own["id"], own["x"] = np.arange(n), np.random.default_rng(3).normal(size=(n, d))
+    met, exact = [], blocks._exact_of
+    monkeypatch.setattr(blocks, "_exact_of", lambda a, b: met.append(len(a)) or exact(a, b))
+    found = blocks._Nearest(blocks.Points("", n, d, np.zeros(d), 0.125, False), own[:256], 0, k)
+    found.meet(own, 0)
+    want = np.sort(((own["x"][:256, None] - own["x"][None]) ** 2).sum(2), axis=1)[:, 1 : k + 1]
+    assert np.allclose(found.d2, want) and sum(met) < 256 * 50  # 44 a row; 64 if every tile began anew
+
+
+def test_chunks_that_read_every_block_are_tasks(spark, monkeypatch):
+    """No task takes several long chunks while other cores have none left."""
+    monkeypatch.setattr(blocks, "CHUNKS", (32, 32))
+    points = blocks.Points("", 32 * 100, 64, np.zeros(64), 1.0, False)
+    assert blocks._dealt(spark, points, None, "i long").rdd.getNumPartitions() == 100
